@@ -20,6 +20,7 @@ QUERIES = {
     "p01_terms": ("p1_found", "p1_terms"),
     "p02_lookalikes": ("p2_found", "p2_forms"),
     "p03_pieces": ("p3_found", "p3_pieces"),
+    "p06_neardup": ("p6_found", "p6_groups"),
     "p05_spans": ("p5_found", "p5_shared_part"),
     "p07_sentences": ("p7_found", "p7_sentence_stats"),
 }

@@ -164,7 +164,7 @@ tok AS (
   SELECT 'translation', doc_no, lower(unnest(regexp_extract_all(translation, '[A-Za-z]+'))) FROM doc WHERE translation <> ''
   UNION ALL
   SELECT 'translation', doc_no, term FROM (
-    SELECT doc_no, unnest(list_transform(range(1, len(c)), i -> c[i] || c[i + 1])) AS term FROM chars)
+    SELECT doc_no, unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS term FROM chars)
   WHERE regexp_full_match(term, '[\x{4E00}-\x{9FFF}]{2}')),
 n AS (SELECT (SELECT count(DISTINCT doc_no) FROM tok WHERE field_name = 'themes' AND term <> '') AS themes,
              (SELECT count(*) FROM doc WHERE translation <> '') AS translation),

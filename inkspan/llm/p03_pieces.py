@@ -145,3 +145,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts longer than 900 and whether any of their pieces had to be cut inside a run (hard)."""
     hard = F.max(F.col("cut") == "hard")
     return p3_pieces(spark, sf_dir).groupBy("doc_no", "field_name").agg(F.when(hard, "hard").otherwise("natural").alias("cut"))
+
+
+SQL = {
+    "p3_found": r"""
+WITH doc AS (SELECT doc_no, max_by(original, loaded_at) AS original, max_by(translation, loaded_at) AS translation FROM corpus_doc GROUP BY doc_no),
+txt AS (SELECT doc_no, 'original' AS field_name, original AS t FROM doc UNION ALL SELECT doc_no, 'translation', translation FROM doc)
+SELECT doc_no, field_name, CASE WHEN list_max(list_transform(regexp_extract_all(t, '[\p{L}\p{N}]+'), lambda x: length(x))) > 900 THEN 'hard' ELSE 'natural' END AS cut
+FROM txt WHERE length(t) > 900
+"""
+}

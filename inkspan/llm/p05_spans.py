@@ -146,3 +146,15 @@ def p5_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = records(spark, sf_dir, "original").where("original <> ''").select("doc_no", F.length("original").cast("long").alias("chars"))
     shared = F.coalesce("shared_chars", F.lit(0))
     return size.join(spans, "doc_no", "left").select("doc_no", "chars", shared.alias("shared_chars"), F.round(shared / F.col("chars"), 6).alias("shared_part"))
+
+
+SQL = {
+    "p5_found": r"""
+WITH doc AS (SELECT doc_no, max_by(original, loaded_at) AS t FROM corpus_doc GROUP BY doc_no),
+win AS (SELECT doc_no, i - 1 AS s, substr(t, i, 48) AS w FROM (SELECT doc_no, t, unnest(range(1, length(t) - 46)) AS i FROM doc WHERE length(t) >= 48)),
+hit AS (SELECT doc_no, s FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(DISTINCT doc_no) > 1)),
+mark AS (SELECT doc_no, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_no ORDER BY s) + 48 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_no, s, sum(new) OVER (PARTITION BY doc_no ORDER BY s) AS g FROM mark)
+SELECT doc_no, min(s) AS span_start, max(s) + 48 AS span_end FROM run GROUP BY doc_no, g
+"""
+}
