@@ -22,6 +22,9 @@ QUERIES = {
     "p03_pieces": ("p3_found", "p3_pieces"),
     "p06_neardup": ("p6_found", "p6_groups"),
     "p05_spans": ("p5_found", "p5_shared_part"),
+    "p08_packing": ("p8_packed", "p8_fill"),
+    "p09_mixing": ("p9_mix", "p9_shares"),
+    "p10_residue": ("p10_found", "p10_kept"),
     "p07_sentences": ("p7_found", "p7_sentence_stats"),
 }
 
