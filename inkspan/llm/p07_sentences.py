@@ -86,7 +86,8 @@ def dot_ends(text: str, first: int, end: int, start: int, stop: int) -> bool:
     if not gap:
         if nxt.isdigit() and nxt < "\u3000":
             return not text[first - 1 : first].isdigit() and not (first > start and text[first - 1].isascii())
-        if nxt.isalpha() and unicodedata.name(nxt, "").startswith(("LATIN", "FULLWIDTH LATIN", "GREEK", "CYRILLIC")):
+        # a name may follow a sentence without a blank; within an abbreviation only single letters do
+        if nxt.isupper() and len(word_before(text, first, start)) < 2:
             return False
     word = word_before(text, first, start)
     if not word:
