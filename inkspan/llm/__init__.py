@@ -21,6 +21,7 @@ QUERIES = {
     "p02_lookalikes": ("p2_found", "p2_forms"),
     "p03_pieces": ("p3_found", "p3_pieces"),
     "p06_neardup": ("p6_found", "p6_groups"),
+    "p04_alignment": ("p4_found",),
     "p05_spans": ("p5_found", "p5_shared_part"),
     "p08_packing": ("p8_packed", "p8_fill"),
     "p09_mixing": ("p9_mix", "p9_shares"),
