@@ -317,8 +317,8 @@ def manifest_diff(spark, d):
 def merge_by_book(spark, d):
     docs = tables.documents(spark, d, "book", "title", "original")
     local = docs.where("book <> '旧记'")
-    remote = docs.where("book in ('旧记', '雁录')").withColumn("title", F.concat(F.lit("新"), "title"))
-    return merge.merge_by_book(local, remote).groupBy("book").agg(F.count("*").alias("docs"), F.count_if(F.startswith("title", F.lit("新"))).alias("replaced"))
+    remote = docs.where("book in ('旧记', '雁录')").withColumn("title", F.concat(F.lit("〔新〕"), "title"))
+    return merge.merge_by_book(local, remote).groupBy("book").agg(F.count("*").alias("docs"), F.count_if(F.startswith("title", F.lit("〔新〕"))).alias("replaced"))
 
 
 def _backfill(spark, d, additive):
