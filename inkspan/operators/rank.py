@@ -22,20 +22,31 @@ def query_terms(tokens: DataFrame, labels_of: DataFrame) -> DataFrame:
     return typed.unionByName(added.select("case_no", (F.col("label_ord") + 1000).alias("term_ord"), F.col("label").alias("term"), F.lit(True).alias("is_label")))
 
 
+def weighted(terms: DataFrame, stats: DataFrame, n_docs: Column) -> DataFrame:
+    """Query terms that the index has, with their weights: inverse document frequency, more for long terms, less for added labels."""
+    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
+    weight = idf * F.when(F.length("term") >= 3, LONG_BONUS).otherwise(1.0) * F.when(F.col("is_label"), LABEL_DISCOUNT).otherwise(1.0)
+    return terms.join(stats, "term").select("case_no", "term_ord", "term", "is_label", weight.alias("w"))
+
+
 def scored(terms: DataFrame, post: DataFrame, stats: DataFrame, n_docs: Column) -> DataFrame:
-    """(case_no, doc_no, score, n_terms, terms): all passages that share a term with a query.
+    """(case_no, doc_no, score, n_terms): all passages that share a term with a query.
 
-    The score, kept to nine decimals, is the largest weight plus a part of the others, added in term order, so that it does not
-    depend on the order of rows. Queries are the small side; passages move only by the terms asked for.
+    The score is the largest weight plus a part of the others. It is kept to nine decimals, so that it does
+    not depend on the order in which a shuffle adds. Only sums move; which terms matched is looked up
+    afterwards, for the few passages shown (``with_terms``).
     """
-    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
-    weight = idf * F.when(F.length("term") >= 3, LONG_BONUS).otherwise(1.0) * F.when(F.col("is_label"), LABEL_DISCOUNT).otherwise(1.0)
-    weighted = terms.join(stats, "term").select("case_no", "term_ord", "term", "is_label", weight.alias("w"))
-    hits = weighted.join(post, "term").groupBy("case_no", "doc_no").agg(F.array_sort(F.collect_list(F.struct("term_ord", "w", "term", "is_label"))).alias("m"))
-    total = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["w"])
-    top = F.array_max(F.transform("m", lambda x: x["w"]))
-    shown = F.transform("m", lambda x: F.when(x["is_label"], F.concat(x["term"], F.lit(SYNONYM))).otherwise(x["term"]))
-    return hits.select("case_no", "doc_no", F.round(top + (total - top) * EXTRA_WEIGHT, 9).alias("score"), F.size("m").alias("n_terms"), shown.alias("terms"))
+    rows = weighted(terms, stats, n_docs).select("case_no", "term", "w").join(post, "term")
+    hits = rows.groupBy("case_no", "doc_no").agg(F.sum("w").alias("total"), F.max("w").alias("top"), F.count("*").cast("int").alias("n_terms"))
+    return hits.select("case_no", "doc_no", F.round(F.col("top") + (F.col("total") - F.col("top")) * EXTRA_WEIGHT, 9).alias("score"), "n_terms")
+
+
+def with_terms(shown: DataFrame, terms: DataFrame, post: DataFrame) -> DataFrame:
+    """Rows of (case_no, doc_no, …) with ``terms``: the query's terms that the passage holds, in order, added labels marked."""
+    label = F.when(F.col("is_label"), F.concat("term", F.lit(SYNONYM))).otherwise(F.col("term"))
+    found = shown.select("case_no", "doc_no").join(terms, "case_no").join(post, ["term", "doc_no"])
+    listed = found.groupBy("case_no", "doc_no").agg(F.array_sort(F.collect_list(F.struct("term_ord", label.alias("t")))).alias("m"))
+    return shown.join(listed.select("case_no", "doc_no", F.transform("m", lambda x: x["t"]).alias("terms")), ["case_no", "doc_no"])
 
 
 def ranked(hits: DataFrame, top: int = TOP) -> DataFrame:

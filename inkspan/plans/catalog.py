@@ -115,7 +115,8 @@ def explain_search(spark, d):
 
 @query
 def search_scored_top3(spark, d):
-    return rank.ranked(pipeline(spark, d).hits).select("case_no", "rank", "doc_no", score(), "n_terms", shown("terms"))
+    p = pipeline(spark, d)
+    return p.with_terms(rank.ranked(p.hits)).select("case_no", "rank", "doc_no", score(), "n_terms", shown("terms"))
 
 
 @query

@@ -81,10 +81,16 @@ class Pipeline:
     def concerns(self) -> DataFrame:
         return bridge.concerns(self.expanded)
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        return rank.query_terms(self.tokens, self.expanded)
+
     @cached_property
     def hits(self) -> DataFrame:
-        terms = rank.query_terms(self.tokens, self.expanded)
-        return rank.scored(terms, self.postings, self.stats, self.n_docs)
+        return rank.scored(self.terms, self.postings, self.stats, self.n_docs)
+
+    def with_terms(self, shown: DataFrame) -> DataFrame:
+        return rank.with_terms(shown, self.terms, self.postings)
 
     def situated(self, top: int | None = None) -> DataFrame:
         return rank.situated(self.hits, self.concerns, tables.documents(self.spark, self.sf_dir, "themes"), top)
@@ -96,7 +102,8 @@ class Pipeline:
 
     @cached_property
     def tiers(self) -> DataFrame:
-        return rank.tiered(self.pool, tables.documents(self.spark, self.sf_dir, "verdict")).persist(StorageLevel.MEMORY_AND_DISK)
+        tiers = rank.tiered(self.pool, tables.documents(self.spark, self.sf_dir, "verdict"))
+        return self.with_terms(tiers).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 _held: dict[tuple[str, str, str], Pipeline] = {}

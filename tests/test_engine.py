@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text
-from inkspan.operators import bridge, index, labels, merge, rank, shaping, stats
+from inkspan.operators import index, labels, merge, rank, shaping
+from inkspan.operators import stats as reports
 from inkspan.plans import catalog
 from inkspan.plans.pipeline import Pipeline
 from inkspan.sources import tables
@@ -97,12 +98,10 @@ def test_without_verdicts_the_ranking_is_the_situated_one(pipe):
 
 
 def test_scores(spark):
-    hits = rank.scored(
-        spark.createDataFrame([(1, 0, "甲乙", False), (1, 1, "丙丁戊", False), (1, 1000, "己庚", True)], "case_no long, term_ord int, term string, is_label boolean"),
-        spark.createDataFrame([("甲乙", 5), ("丙丁戊", 5), ("己庚", 6), ("甲乙", 7)], "term string, doc_no long"),
-        spark.createDataFrame([("甲乙", 2), ("丙丁戊", 1), ("己庚", 1)], "term string, df long"),
-        F.lit(9.0),
-    )
+    terms = spark.createDataFrame([(1, 0, "甲乙", False), (1, 1, "丙丁戊", False), (1, 1000, "己庚", True)], "case_no long, term_ord int, term string, is_label boolean")
+    post = spark.createDataFrame([("甲乙", 5), ("丙丁戊", 5), ("己庚", 6), ("甲乙", 7)], "term string, doc_no long")
+    stats = spark.createDataFrame([("甲乙", 2), ("丙丁戊", 1), ("己庚", 1)], "term string, df long")
+    hits = rank.with_terms(rank.scored(terms, post, stats, F.lit(9.0)), terms, post)
     import math
 
     w = [math.log(10 / 3) + 1, (math.log(10 / 2) + 1) * 1.35, (math.log(10 / 2) + 1) * 0.75]
@@ -174,7 +173,7 @@ def test_labels(spark):
 
 def test_report(spark):
     docs = tables.lenient(spark.createDataFrame([(i, "甲", "字" * n, "") for i, n in enumerate([5, 1, 3, 9])] + [(9, None, None, None)], "doc_no long, book string, original string, translation string"))
-    r = {x.book: x for x in stats.shard_report(docs).collect()}
+    r = {x.book: x for x in reports.shard_report(docs).collect()}
     assert (r["甲"].min_len, r["甲"].p50_len, r["甲"].p90_len, r["甲"].max_len, r["甲"].chars) == (1, 5, 9, 9, 18) and r[""].items == 1
 
 
