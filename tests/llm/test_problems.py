@@ -130,6 +130,26 @@ def test_the_learned_table_answers_held_out_sentences():
     assert right >= 0.9 * total
 
 
+def test_the_table_is_learned_from_all_records_of_any_length(spark, tmp_path):
+    """A word that only five of 4,000 records have, and one that only texts of more than 4,000 characters have, get their answers."""
+    rng = random.Random(2)
+    words = [("某甲守城", "guarded the town"), ("粟尽援绝", "grain ran out"), ("夜袭敌营", "raided the camp"), ("筑堤引水", "built a dike"), ("上表辞官", "resigned by letter"), ("开仓济民", "opened the granary")]
+    docs = []
+    for n in range(4000):
+        some = rng.sample(words, 3)
+        if n % 800 == 7:
+            some.insert(1, ("麒麟", "unicorn"))
+        if n % 800 == 9:
+            some = [*(some * 120), ("鸑鷟", "phoenix")]
+        docs.append(record(n, "".join(f"{a}。" for a, _ in some), " ".join(f"He {b}." for _, b in some)))
+    lexicon = p04_alignment.Lexicon([])
+    rows = spark.createDataFrame([(d[5], d[6]) for d in docs], "original string, translation string")
+    assert max(len(d[6]) for d in docs) > 4000
+    table = p04_alignment.fitted(rows.repartition(3), lexicon)
+    assert "unicorn" in dict(table[True]["麒麟"]) and "phoenix" in dict(table[True]["鸑鷟"])
+    assert table == p04_alignment.learn([(d[5], d[6]) for d in docs], lexicon)
+
+
 def brute_spans(texts):
     where = defaultdict(set)
     for n, t in texts.items():
