@@ -67,6 +67,8 @@ UNIT = re.compile(r"[\n。！？!?；;]|\.(?=\s|$)")
 NOISE = re.compile(r"[\W\d_]+|\b[0-9a-f]{5,10}\b")
 WORDS = re.compile(r"[^\W\d_]+")
 LATIN_WORDS = frozenset(LATIN.split())
+#: Those of them that do not make a sentence Latin.
+ENGLISH_TOO = frozenset(("do", "sit"))
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -74,7 +76,7 @@ def _automaton() -> ahocorasick.Automaton:
     for kind, listed in (("n", NOTICES), ("f", FILLER), ("o", OUTPUT)):
         for phrase in re.split(r"[|\n]", listed.strip("\n")):
             a.add_word(phrase, (kind, phrase))
-    for word in ("lorem", "ipsum"):
+    for word in LATIN_WORDS - ENGLISH_TOO:
         a.add_word(word, ("l", word))
     for sign in SIGNS:
         a.add_word(sign, ("p", sign))
@@ -100,6 +102,7 @@ def is_residue(text: str | None, automaton: ahocorasick.Automaton) -> bool:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     low = low.replace("’", "'")
     hits = [(last + 1 - len(x), last + 1, kind, x) for last, (kind, x) in automaton.iter(low)]
+    hits = [h for h in hits if h[2] != "l" or not (low[h[0] - 1 : h[0]].isalpha() or low[h[1] : h[1] + 1].isalpha())]
     if not hits:
         return False
     if any(kind == "p" for *_, kind, _ in hits) and any(not quoted(text, m.start(), m.end()) for m in PLACEHOLDER.finditer(text)):

@@ -269,6 +269,14 @@ def test_residue():
     assert [p10_residue.is_residue(t, a) for t in no] == [False] * len(no)
 
 
+def test_dummy_latin_of_any_listed_words():
+    a = p10_residue._automaton()
+    yes = ["Quaero fossa mirum alta mirum limen sed mirum.", "城破。\nVelum ventis, fossa porta limen.\n遂降。", "Ut labore et dolore magna aliqua"]
+    no = ["The porta of the town was shut at dusk, et cetera.", "Do sit, do sit.", "Sedimentary limens and altars of nostrand porters.", "The Magna Carta"]
+    assert [p10_residue.is_residue(t, a) for t in yes] == [True] * len(yes)
+    assert [p10_residue.is_residue(t, a) for t in no] == [False] * len(no)
+
+
 def test_records_count_once(spark, tmp_path):
     d = fixtures.write(spark, tmp_path, {"corpus_doc": [record(1, "甲。乙。", "x"), record(1, "甲。乙。", "x", loaded_at=fixtures.T1)]})
     from inkspan.llm import queries
