@@ -13,6 +13,9 @@ EXTRA_WEIGHT, LABEL_DISCOUNT, LONG_BONUS = 0.3, 0.75, 1.35
 MIN_COVERAGE, POOL, FLOOR, MAX_WHY, TOP = 2, 200, 0.35, 4, 3
 TIERS = ("上", "中", "下")
 SYNONYM = "（同义）"
+# The fields of the simplified engine, in the order in which it runs them together.
+OFFLINE = ("book", "chapter", "title", "original", "translation", "decision", "outcome", "cause", "process", "significance")
+OFFLINE_ARRAYS = ("figures", "themes", "cast_list")
 
 
 def query_terms(tokens: DataFrame, labels_of: DataFrame) -> DataFrame:
@@ -111,19 +114,24 @@ def as_json(hits: DataFrame, reasons: DataFrame, docs: DataFrame, cases: DataFra
 
 
 def offline(cases: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
-    """The simplified engine: raw bigrams of all fields run together, summed idf, ties by number, scores to one decimal."""
-    fields = F.concat("title", "original", "translation", "decision", "outcome", F.array_join("figures", ""), F.array_join("themes", ""))
-    grams = docs.select("doc_no", F.explode(F.array_distinct(text.windows(fields, 2))).alias("term"))
-    asked = cases.select("case_no", F.posexplode(F.array_distinct(text.windows(F.regexp_replace("query", r"(?U)\s+", ""), 2))).alias("term_ord", "term"))
+    """The simplified engine: raw bigrams of all fields run together, summed idf, ties by number, scores to one decimal.
+
+    Of the first 200 that reach a share of the best, the first of each verdict is shown, in the tiers' order;
+    queries with none get their first ``top``.
+    """
+    lists = [F.array_join(c, "") for c in OFFLINE_ARRAYS]
+    grams = docs.select("doc_no", F.explode(F.array_distinct(text.windows(F.concat(*OFFLINE, *lists), 2))).alias("term"))
+    asked = cases.select("case_no", F.posexplode(F.array_distinct(text.windows(F.regexp_replace("query", r"(?U)^\s+|\s+$", ""), 2))).alias("term_ord", "term"))
     post = grams.join(small(asked.select("term").distinct()), "term", "left_semi")
     stats = post.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n")).scalar()
     weighted = asked.join(stats, "term").select("case_no", "term_ord", "term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("w"))
     sums = weighted.join(post, "term").groupBy("case_no", "doc_no").agg(F.array_sort(F.collect_list(F.struct("term_ord", "w"))).alias("m"))
     score = F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x["w"]), 6)
-    w = Window.partitionBy("case_no").orderBy(F.col("s").desc(), "doc_no")
-    best = sums.select("case_no", "doc_no", score.alias("s")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return best.select("case_no", "rank", "doc_no", F.floor(F.col("s") * 10 + 0.5).cast("double").alias("score_tenths"))
+    w = Window.partitionBy("case_no").orderBy(F.col("score").desc(), "doc_no")
+    pool = sums.select("case_no", "doc_no", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(top, POOL))
+    shown = tiered(pool, docs, top)
+    return shown.select("case_no", F.col("slot").alias("rank"), "doc_no", F.floor(F.col("score") * 10 + 0.5).cast("double").alias("score_tenths"), "verdict", "graded")
 
 
 def recall(first: DataFrame, cases: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """The retrieval engine on small tables of its own."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +185,41 @@ def test_every_query_runs_on_messy_and_empty_tables(spark, tmp_path, kind):
     d = fixtures.write(spark, tmp_path, {} if kind == "empty" else fixtures.messy(), clashing=kind == "clashing")
     for name, q in catalog.queries().items():
         q(spark, d).collect()
+
+
+def brute_offline(docs, query):
+    """Of (number, fields run together, verdict) the numbers shown and whether they are graded."""
+    grams = {n: {t[i : i + 2] for i in range(len(t) - 1)} for n, t, _ in docs}
+    sums = {}
+    for term in {query[i : i + 2] for i in range(len(query) - 1)}:
+        have = [n for n in grams if term in grams[n]]
+        for n in have:
+            sums[n] = sums.get(n, 0.0) + math.log((len(docs) + 1) / (len(have) + 1)) + 1
+    ranked = sorted(sums, key=lambda n: (-round(sums[n], 6), n))
+    verdict = {n: v for n, _, v in docs}
+    able = [n for n in ranked[:200] if sums[n] >= 0.35 * sums[ranked[0]]]
+    firsts = [next((n for n in able if verdict[n] == v), None) for v in "上中下"]
+    chosen = [n for n in firsts if n is not None]
+    return [(n, math.floor(sums[n] * 10 + 0.5)) for n in chosen or ranked[:3]], bool(chosen)
+
+
+@pytest.mark.parametrize("verdicts", ["上中下", " "])
+def test_the_simplified_engine_reads_all_fields_and_grades(spark, tmp_path, verdicts):
+    fields = ["book", "chapter", "title", "original", "translation", "decision", "outcome", "cause", "process", "significance", "figures", "themes", "cast_list"]
+    rng = random.Random(3)
+    rows, docs = [], []
+    for n in range(240):
+        value = {f: "".join(rng.choices("甲乙丙丁戊，", k=rng.randint(0, 3))) for f in fields}
+        v = rng.choice(verdicts).strip() if n % 3 else ""
+        if n < len(fields):  # a text that only one field holds
+            value[fields[n]] = f"子{'丑寅卯辰巳午未申酉戌亥金木'[n]}"
+        docs.append((n, "".join(value.values()), v))
+        rows.append(record(n, verdict=v, **{f: [value[f]] if f in ("figures", "themes", "cast_list") else value[f] for f in fields}))
+    asked = ["子丑", "子寅", "甲乙 丙", "子巳", "子金", "子木", "甲乙丙", "乙戊丁甲丙", "无此"]
+    d = fixtures.write(spark, tmp_path, {"corpus_doc": rows, "cases": [row("cases", case_no=i, query=q, asked_at=fixtures.T0) for i, q in enumerate(asked)]})
+    got = {}
+    for r in catalog.queries()["bigram_offline_top3"](spark, d).orderBy("case_no", "rank").collect():
+        got.setdefault(r.case_no, []).append(((r.doc_no, r.score_tenths), r.graded))
+    for i, q in enumerate(asked):
+        want, graded = brute_offline(docs, q) if q != "无此" else ([], False)
+        assert got.get(i, []) == [(x, graded) for x in want]
