@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions import text
-from inkspan.operators.bridge import HIGH_DF
+from inkspan.operators import index
+from inkspan.operators.bridge import HIGH_DF, SINGLE_COST
 from inkspan.sources.tables import small
 
 # Fixed values of the audit.
 LEAST_P, MIN_DF, PHRASE_DF, PER_LABEL = 0.60, 2, 3, 20
-MINED = ("title", "original", "translation", "decision", "outcome", "cause", "process", "significance")
+MINED = ("title", "translation", "significance", "cause", "process", "decision", "outcome", "original")
+
+HAN = re.compile("[一-鿿㐀-䶿]+")
+STOPS = frozenset(text.STOP_WORDS)
 
 
 def themed(docs: DataFrame) -> DataFrame:
@@ -60,24 +68,66 @@ def mining_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_no", text.mask(text.normalize(body)).alias("body"))
 
 
-def phrases(docs: DataFrame, longest: int = 6) -> DataFrame:
-    """(phrase, doc_no): one to three neighbouring Han runs' head words of each document, of two to six characters together, each once.
-
-    A document offers the first 24 distinct words of its body; a word is a bigram of a Han run.
-    """
-    han = F.filter(F.split("body", "[^一-鿿]+"), lambda b: F.length(b) >= 2)
-    rows = mining_text(docs).select("doc_no", F.slice(F.array_distinct(F.flatten(F.transform(han, _pairs))), 1, text.MAX_TOKENS).alias("w"))
-
-    def joined(k: int) -> Column:
-        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), ""))).otherwise(F.array().cast("array<string>"))
+def segmented(body: str, known: dict[str, float], single: float) -> list[str]:
+    """The words of a body as ``bridge.tokens`` cuts them, all of them and in order; known words by their cost."""
+    out: list[str] = []
+    for block in body.split(" "):
+        if len(block) < 2:
+            continue
+        best, back = [0.0], []
+        for i in range(1, len(block) + 1):
+            least, length = best[i - 1] + single, 1
+            for k in text.GRAM_LENGTHS:
+                if k > i:
+                    break
+                cost = known.get(block[i - k : i])
+                if cost is not None and best[i - k] + cost < least:
+                    least, length = best[i - k] + cost, k
+            best.append(least)
+            back.append(length)
+        at, pieces = len(block), []
+        while at:
+            k = back[at - 1]
+            if k >= 2:
+                pieces.append(block[at - k : at])
+            at -= k
+        out += [x for x in reversed(pieces) if x not in STOPS]
+    return out or [body[i : i + 2] for i in range(len(body) - 1)]
+
+
+def joined(words: list[str], longest: int) -> list[str]:
+    """One to three neighbouring words of Han characters, of two to ``longest`` characters together, each once."""
+    out = {}
+    for i in range(len(words)):
+        phrase = ""
+        for w in words[i : i + 3]:
+            phrase += w
+            if not HAN.fullmatch(w) or len(phrase) > longest:
+                break
+            if len(phrase) >= 2:
+                out[phrase] = None
+    return list(out)
 
-    all_ = F.filter(F.concat(*[joined(k) for k in (1, 2, 3)]), lambda p: F.length(p).between(2, longest))
-    return rows.select("doc_no", F.explode(F.array_distinct(all_)).alias("phrase"))
 
+def phrases(docs: DataFrame, longest: int = 6) -> DataFrame:
+    """(phrase, doc_no): one to three neighbouring words of each document, of two to six characters together, each once.
 
-def _pairs(b: Column) -> Column:
-    """A run cut into words of two characters; an odd last character joins none."""
-    return F.transform(F.sequence(F.lit(1), F.length(b) - 1, F.lit(2)), lambda i: F.substring(b, i, F.lit(2)))
+    The whole body is cut by the vocabulary of the index. The vocabulary is sent to all tasks; it grows as the
+    distinct grams of the texts do.
+    """
+    stats = index.frequencies(index.postings(docs))
+    n = F.lit(float(docs.count() + 2))
+    spark = docs.sparkSession
+    single = spark.range(1).select((-F.log(F.lit(2.0) / n) + F.lit(SINGLE_COST)).alias("x")).first().x
+    known = spark.sparkContext.broadcast({r.term: r.cost for r in stats.select("term", (-F.log((F.col("df") + 1) / n)).alias("cost")).toLocalIterator()})
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = joined(segmented(body, known.value, single), longest)
+                yield pa.RecordBatch.from_arrays([pa.array([no] * len(found), pa.int64()), pa.array(found, pa.string())], names=["doc_no", "phrase"])
+
+    return mining_text(docs).mapInArrow(mine, "doc_no long, phrase string")
 
 
 def mined(docs: DataFrame, labels: DataFrame) -> DataFrame:

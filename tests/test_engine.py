@@ -2,6 +2,7 @@
 
 import math
 import random
+from functools import lru_cache
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,48 @@ def test_the_simplified_engine_reads_all_fields_and_grades(spark, tmp_path, verd
     for i, q in enumerate(asked):
         want, graded = brute_offline(docs, q) if q != "无此" else ([], False)
         assert got.get(i, []) == [(x, graded) for x in want]
+
+
+def test_phrases_are_mined_from_whole_texts_in_words(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["粮尽", "援绝", "守城", "夜袭", "筑堤", "开仓", "求和", "辞官人", "大旱"]
+    rows = [record(n, "，".join("".join(rng.choices(words, k=3)) for _ in range(30)), "开头" + rng.choice(words) + "一个译文", title="题" + words[n % 9], significance="末尾之语" if n % 2 else "", themes=["断粮"]) for n in range(30)]
+    d = fixtures.write(spark, tmp_path, {"corpus_doc": rows})
+    docs = tables.documents(spark, d)
+    bodies = {r.doc_no: r.body for r in labels.mining_text(docs).collect()}
+    df = {r.term: r.df for r in index.frequencies(index.postings(docs)).collect()}
+    n = len(rows) + 2
+
+    def cheapest(block):
+        """All ways to cut a block, the cheapest first."""
+        if not block:
+            return 0.0, ()
+        found = []
+        for k in (1, 2, 3, 4):
+            w = block[:k]
+            if len(w) == k and (k == 1 or w in df):
+                rest = cut(block[k:])
+                found.append((rest[0] + (math.log(n / 2) + 4 if k == 1 else -math.log((df[w] + 1) / n)), (w, *rest[1])))
+        return min(found, key=lambda x: round(x[0], 9))
+
+    cut = lru_cache(None)(cheapest)
+    got = {}
+    for r in labels.phrases(docs).collect():
+        got.setdefault(r.doc_no, set()).add(r.phrase)
+    for no, body in bodies.items():
+        blocks = [b for b in body.split(" ") if len(b) >= 2]
+        known, single = {t: -math.log((c + 1) / n) for t, c in df.items()}, math.log(n / 2) + 4
+        for b in blocks:
+            pieces = labels.segmented(b, known, single)
+            cost = sum(known[w] for w in pieces) + single * (len(b) - sum(map(len, pieces)))
+            assert not pieces or pieces[0] not in known or abs(cost - cut(b)[0]) < 1e-9
+        list_ = [w for b in blocks for w in labels.segmented(b, known, single)]
+        want = {"".join(list_[i : i + k]) for k in (1, 2, 3) for i in range(len(list_) - k + 1)}
+        assert got[no] == {p for p in want if 2 <= len(p) <= 6}
+        assert len(list_) > 24 and any(p in body.split(" ")[-2] for p in got[no])
+    few = tables.documents(spark, d)
+    norm = labels.mining_text(few).limit(5).select(F.col("doc_no").alias("case_no"), F.substring("body", 1, 20).alias("norm"))
+    from inkspan.operators import bridge
+
+    for r in bridge.tokens(norm, index.frequencies(index.postings(docs)), F.lit(float(len(rows)))).join(norm, "case_no").collect():
+        assert r.tokens == list(dict.fromkeys(labels.segmented(r.norm, known, single)))[:24]
