@@ -141,3 +141,36 @@ def recall(first: DataFrame, cases: DataFrame) -> DataFrame:
     titles = F.coalesce("titles", F.array().cast("array<string>"))
     passed = F.exists("want", lambda w: F.exists(titles, lambda t: F.contains(t, w)))
     return rows.select("case_no", "confidence", F.coalesce(passed, F.lit(False)).alias("passed"), F.size(titles).alias("hits"))
+
+
+def drift(curated: DataFrame, loaded: DataFrame, docs: DataFrame, book: str, top: int = TOP) -> DataFrame:
+    """The first hits over the curated records against those over all: (case_no, doc_no, curated_rank, loaded_rank, kept, evicted, from_shard).
+
+    A record of either list has a row; ``loaded_rank`` is its place among the first 200 over all records, else null.
+    A record is the same in both by its number. Records without book come from no shard.
+    """
+    a = ranked(curated, top).select("case_no", "doc_no", F.col("rank").alias("curated_rank"))
+    wide = ranked(loaded, POOL).select("case_no", "doc_no", F.col("rank").alias("loaded_rank"))
+    both = a.join(wide, ["case_no", "doc_no"], "full_outer").where(F.col("curated_rank").isNotNull() | (F.col("loaded_rank") <= top))
+    shown = F.coalesce(F.col("loaded_rank") <= top, F.lit(False))
+    rows = both.withColumn("kept", F.col("curated_rank").isNotNull() & shown).withColumn("evicted", F.col("curated_rank").isNotNull() & ~shown)
+    shard = (F.col("book") != "") & (F.col("book") != book)
+    return rows.join(docs.select("doc_no", shard.alias("from_shard")), "doc_no").select("case_no", "doc_no", "curated_rank", "loaded_rank", "kept", "evicted", "from_shard")
+
+
+def drift_shares(rows: DataFrame, docs: DataFrame, book: str, top: int = TOP) -> DataFrame:
+    """One row over ``drift``: cases with hits, those with the same list, with all curated hits kept, with some evicted; hits over all records, and the shares of shards and of curated records."""
+    shown = F.col("loaded_rank") <= top
+    each = rows.groupBy("case_no").agg(F.count("curated_rank").alias("a"), F.count_if(shown).alias("b"), F.count_if("kept").alias("kept"), F.count_if(shown & F.col("from_shard")).alias("shard"))
+    same = (F.col("a") > 0) & (F.col("kept") == F.col("a")) & (F.col("kept") == F.col("b"))
+    sums = each.agg(
+        F.count("*").alias("cases"),
+        F.count_if(same).alias("identical"),
+        F.count_if(F.col("kept") == F.col("a")).alias("kept_all"),
+        F.count_if(F.col("kept") < F.col("a")).alias("lost_some"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("hits"),
+        F.coalesce(F.sum("shard"), F.lit(0)).alias("shard_hits"),
+    )
+    size = docs.agg(F.count_if(F.col("book") == book).alias("curated_docs"), F.count("*").alias("docs"))
+    share = lambda x, n: F.when(F.col(n) > 0, F.round(F.col(x) / F.col(n), 6)).otherwise(0.0)
+    return sums.crossJoin(size).select("*", share("shard_hits", "hits").alias("shard_share"), share("curated_docs", "docs").alias("curated_share"))

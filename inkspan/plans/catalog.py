@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import text
 from inkspan.operators import bridge, index, labels, merge, rank, shaping, stats
 from inkspan.plans import sql
-from inkspan.plans.pipeline import pipeline
+from inkspan.plans.pipeline import Curated, pipeline
 from inkspan.sources import tables
 
 FLAGSHIP = "search_tiers"
@@ -186,6 +186,25 @@ def rank_drift(spark, d):
     return a.join(top, "case_no").join(now, ["case_no", "first"], "left").select("case_no", F.size(F.array_intersect("a", "b")).alias("overlap"), "first", "first_now")
 
 
+#: The book of curated records.
+CURATED = "芦原书"
+
+
+def _drift(spark, d):
+    return rank.drift(Curated(spark, d, CURATED).hits, pipeline(spark, d).hits, tables.documents(spark, d, "book"), CURATED)
+
+
+@query
+def rank_drift_corpora(spark, d):
+    """The first three of the score over the curated book against those over all records."""
+    return _drift(spark, d)
+
+
+@query
+def rank_drift_shares(spark, d):
+    return rank.drift_shares(_drift(spark, d), tables.documents(spark, d, "book"), CURATED)
+
+
 @query
 def titles_bridge(spark, d):
     return pipeline(spark, d, "titles").matches.select("case_no", "label", "trigger")

@@ -106,6 +106,22 @@ class Pipeline:
         return self.with_terms(tiers).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+class Curated(Pipeline):
+    """The same over the records of one book alone, with its own counts."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, book: str) -> None:
+        super().__init__(spark, sf_dir)
+        self.book = book
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return tables.documents(self.spark, self.sf_dir).where(F.col("book") == self.book)
+
+    @cached_property
+    def count(self) -> int:
+        return self.docs.count()
+
+
 _held: dict[tuple[str, str, str], Pipeline] = {}
 
 

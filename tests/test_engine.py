@@ -269,3 +269,18 @@ def test_phrases_are_mined_from_whole_texts_in_words(spark, tmp_path):
 
     for r in bridge.tokens(norm, index.frequencies(index.postings(docs)), F.lit(float(len(rows)))).join(norm, "case_no").collect():
         assert r.tokens == list(dict.fromkeys(labels.segmented(r.norm, known, single)))[:24]
+
+
+def test_drift_compares_the_curated_book_with_all_records(spark, tmp_path):
+    rows = [record(n, "守城之法" if n < 4 else "别事", book="芦原书") for n in range(8)] + [record(10 + n, "守城粟尽援绝" if n < 2 else "粟尽援绝", book="旧记") for n in range(6)] + [record(20, "粟尽", book="")]
+    d = fixtures.write(spark, tmp_path, {"corpus_doc": rows, "cases": [row("cases", case_no=1, query="守城粟尽", asked_at=fixtures.T0), row("cases", case_no=2, query="守城", asked_at=fixtures.T0), row("cases", case_no=3, query="无此", asked_at=fixtures.T0)]})
+    got = {(r.case_no, r.doc_no): r for r in catalog.queries()["rank_drift_corpora"](spark, d).collect()}
+    curated = {1: [0, 1, 2], 2: [0, 1, 2]}
+    for case, docs in curated.items():
+        assert [got[case, n].curated_rank for n in docs] == [1, 2, 3]
+    evicted = [r for r in got.values() if r.evicted]
+    assert len(evicted) >= 2 and all(r.loaded_rank > 3 for r in evicted)
+    shown = [r for r in got.values() if (r.loaded_rank or 999) <= 3]
+    assert sum(r.case_no == 1 for r in shown) == 3 and got[1, 10].from_shard and got[1, 10].loaded_rank == 1 and got[1, 10].curated_rank is None
+    s = catalog.queries()["rank_drift_shares"](spark, d).first()
+    assert (s.cases, s.hits, s.curated_docs, s.docs) == (2, 6, 8, 15) and s.shard_hits == sum(r.from_shard for r in shown) and s.lost_some >= 1
