@@ -64,7 +64,7 @@ def catalog_totals(catalog: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def completeness(docs: DataFrame) -> DataFrame:
-    """(doc_no, violation): short originals and translations, too few themes, pros or cons outside two to three, repeated keys."""
+    """(doc_no, violation): short originals and translations, too few themes, pros or cons outside two to three, no book."""
     rules = {
         "short_original": F.length("original") < 16,
         "short_translation": F.length("translation") < 20,

@@ -18,11 +18,13 @@ def _keys(field: str) -> list[str]:
 
 
 ITEM = T.StructType([T.StructField(k, T.StringType()) for f in STRINGS for k in _keys(f)] + [T.StructField(k, T.ArrayType(T.StringType())) for f in ARRAYS for k in _keys(f)])
-ROOT = T.StructType([T.StructField("book", T.StringType()), T.StructField("items", T.ArrayType(ITEM))])
+ROOT = T.StructType([T.StructField("book", T.StringType()), T.StructField("items", T.ArrayType(ITEM)), T.StructField("books", T.ArrayType(T.StructType([T.StructField("book", T.StringType()), T.StructField("items", T.ArrayType(ITEM))])))])
 
 
 def read_corpus(spark: SparkSession, *paths: str) -> DataFrame:
-    """Documents of files ``{"book":…, "items":[…]}`` or ``[…]``: (file, pos, fields).
+    """Documents of files ``{"book":…, "items":[…]}``, ``{"books":[{"book":…, "items":[…]}]}`` or ``[…]``: (file, pos, fields).
+
+    The items of ``books`` belong to their book; those of the root are read only where ``books`` has none.
 
     Missing and wrong-typed keys give '' or an empty array, unknown keys are ignored, a byte-order mark is
     blank. The root's book is inherited by items without one only where it stands before the items. A file
@@ -34,13 +36,16 @@ def read_corpus(spark: SparkSession, *paths: str) -> DataFrame:
     root = F.from_json("value", ROOT, mode)
     listed = F.from_json("value", T.ArrayType(ITEM), mode)
     book_first = F.regexp_like("value", F.lit(r'(?s)^\s*\{\s*(?:"(?!items")[^"]*"\s*:\s*"(?:[^"\\]|\\.)*"\s*,\s*)*?"book"\s*:'))
-    rows = whole.select("file", F.when(~is_list & book_first, root["book"]).alias("root_book"), F.when(is_list, listed).otherwise(root["items"]).alias("items"))
-    items = rows.select("file", "root_book", F.posexplode("items").alias("pos", "i")).where("i is not null")
+    rows = whole.select("file", F.when(~is_list & book_first, root["book"]).alias("root_book"), F.when(is_list, listed).otherwise(root["items"]).alias("items"), F.when(~is_list, root["books"]).alias("books"))
+    owned = F.flatten(F.transform(F.filter("books", lambda b: b.isNotNull() & b["items"].isNotNull()), lambda b: F.transform(b["items"], lambda i: F.struct(b["book"].alias("owner"), i.alias("i")))))
+    loose = F.transform("items", lambda i: F.struct(F.lit(None).cast("string").alias("owner"), i.alias("i")))
+    each = F.when(F.coalesce(F.size(owned), F.lit(0)) > 0, owned).otherwise(loose)
+    items = rows.select("file", "root_book", F.posexplode(each).alias("pos", "x")).select("file", "root_book", "pos", "x.owner", "x.i").where("i is not null")
     columns = []
     for f in STRINGS:
         value = F.coalesce(*[F.col(f"i.{k}") for k in _keys(f)], F.lit(""))
         if f == "book":
-            value = F.coalesce(F.nullif(value, F.lit("")), "root_book", F.lit(""))
+            value = F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.nullif(value, F.lit("")), "root_book", F.lit(""))
         columns.append((text.verdict(value) if f == "verdict" else value).alias(f))
     for f in ARRAYS:
         columns.append(F.filter(F.coalesce(*[F.col(f"i.{k}") for k in _keys(f)], F.array().cast("array<string>")), lambda x: x.isNotNull()).alias(f))

@@ -26,6 +26,13 @@ def test_corpus_files(spark, tmp_path):
     assert got[11].book == "乙志" and got[12].book == "" and (got[13].original, got[13].translation) == ("c", "m")
 
 
+def test_a_corpus_of_several_books(spark, tmp_path):
+    path = put(tmp_path / "e.json", {"version": "1", "books": [{"book": "甲志", "items": [{"title": "一", "original": "文"}, {"title": "二"}]}, {"book": "丙志"}, None, {"book": "乙志", "items": [{"title": "三", "themes": ["守城"]}]}], "items": [{"title": "四"}]})
+    none = put(tmp_path / "f.json", {"books": [], "items": [{"book": "丁志", "title": "五"}]})
+    got = [(r.doc_no, r.book, r.title) for r in cj.numbered(cj.read_corpus(spark, path, none)).orderBy("doc_no").collect()]
+    assert got == [(0, "甲志", "一"), (1, "甲志", "二"), (2, "乙志", "三"), (3, "丁志", "五")]
+
+
 def test_small_files(spark, tmp_path):
     labels = put(tmp_path / "l.json", {"labels": [{"label": "守城", "triggers": ["怎么守"], "provenance": 1}, {"label": ""}]})
     assert [r.label for r in cj.read_labels(spark, labels).collect()] == ["守城"]
