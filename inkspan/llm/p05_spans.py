@@ -1,12 +1,11 @@
 """Problem 5: long exact spans shared between records.
 
-Method: relative Lempel-Ziv parsing against reference blocks.  A text is factored greedily against
-the stretches of other records; factors of at least ``SPAN`` characters, with the windows across
-factor boundaries looked up too, make up its shared spans.  Matching every text with every block of
-the collection would cost the square of the input, so the reference is cut into blocks by content: a
-stretch belongs to the block of its minimizer, the least fingerprint of the ``SEED``-grams of a
-window.  Equal windows have equal minimizers, hence a window's counterpart is always in its own
-block, and no other block need be read.
+Method: an exact join of windows within blocks, in place of relative Lempel-Ziv parsing; nothing is
+factored.  Every ``SPAN``-character window is held against those of other records by its fingerprint,
+and windows that another record has are joined to spans.  To keep this from being one join of all
+windows, stretches are put into blocks by content: a stretch belongs to the block of its minimizer, the
+least fingerprint of the ``SEED``-grams of a window.  Equal windows have equal minimizers, hence a
+window's counterpart is always in its own block, and windows of blocks of one record are not read.
 
 Defined cases: null, '' and texts shorter than ``SPAN`` give no row; a stretch repeated only within
 its own record is not shared; a record that is a copy of another is one span.
