@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .tokens import TOKENIZER, counted
 
-#: Limits of a container: tokens, segments, loss-bearing tokens.
+#: Limits of a container: tokens, segments, loss-bearing tokens. The last never binds as set: these data have no labels of loss, so an item's is its tokens less one.
 CAPACITY, SEGMENTS, LOSS = 2048, 64, 2048
 #: Items packed by one task, about.
 BIN = 20_000
