@@ -50,9 +50,12 @@ def asked(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder only where the cluster names none (tests on one machine)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "inkspan-checkpoints"))
+    """Makes sure of a checkpoint folder: the one the session names, else one of this machine, but only where Spark runs on it alone."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "inkspan-checkpoints"))
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:

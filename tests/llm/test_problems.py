@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -83,45 +84,97 @@ def test_pieces(parts):
     assert any(h for *_, h in mine) == (runs > 900)
 
 
+def bare_tables(lexicon):
+    return {x: p04_alignment.Table(*lexicon.answers) for x in (True, False)}
+
+
 def test_alignment():
     lexicon = p04_alignment.Lexicon([("甲", "甲", "Jia", "given"), ("乙", "乙", "yi", "given"), ("城", "城", "Town", "suffix")])
-    answers = {x: p04_alignment.Answers(lexicon, {}, x) for x in (True, False)}
     original = "王甲守东城三百日。李乙献白马二十匹。张丙筑城于西津。赵丁病卒于南陂。"
     merged = "王甲守卫东城300天；李乙献上白马20匹。以下据别本补。张丙在西津筑城。"
-    pairs = set(p04_alignment.align(original, merged, answers))
+    pairs = set(p04_alignment.align(original, merged, lexicon, bare_tables(lexicon)))
     starts = [original.index(x) for x in ("王甲", "李乙", "张丙")]
     assert pairs == {(starts[0], 0), (starts[1], 0), (starts[2], merged.index("张丙"))}
-    assert p04_alignment.align("", "甲。", answers) == [] and p04_alignment.number("九千零四十") == 9040 and p04_alignment.number("1,204.5") == 1204
-
-
-def test_decoding_finds_merges_splits_and_omissions():
-    one = np.full((3, 4), -9.0)
-    one[0, 0], one[0, 1], one[1, 2], one[2, 2] = 3, 3, 9, 9
-    two = np.full((3, 3), -9.0)
-    two[0, 0] = 12
-    assert sorted(p04_alignment.decode(one, two)) == [(0, 0), (1, 0), (2, 1), (2, 2)]
-
+    assert p04_alignment.align("", "甲。", lexicon, bare_tables(lexicon)) == [] and p04_alignment.number("九千零四十") == 9040 and p04_alignment.number("1,204.5") == 1204
 
-def test_decoding_finds_moves_and_additions():
-    one = np.full((4, 3), -9.0)
-    one[0, 2], one[1, 0], one[2, 1] = 20, 20, 20
-    assert sorted(p04_alignment.decode(one, np.full((4, 2), -9.0))) == [(0, 1), (1, 2), (2, 0)]
 
-
-def test_the_learned_table_answers_held_out_sentences():
+def test_three_sentences_rendered_by_one():
+    lexicon = p04_alignment.Lexicon([])
+    original = "王甲守东城。李乙献白马。张丙筑石桥。赵丁卒南陂。"
+    pairs = p04_alignment.align(original, "王甲守东城，李乙献白马，张丙筑石桥。赵丁卒于南陂。", lexicon, bare_tables(lexicon))
+    assert pairs == [(0, 0), (6, 0), (12, 0), (18, 18)]
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 50])
+def test_a_sentence_moved_five_hundred_places_is_found(monkeypatch, cells):
+    """Also with the path decoded in blocks of rows."""
+    monkeypatch.setattr(p04_alignment, "CELLS", cells * 40)
+    chars = [chr(0x4E00 + i) for i in range(3000)]
+    sentences = ["".join(random.Random(i).sample(chars, 9)) + "。" for i in range(900)]
+    order = [*range(100), *range(101, 640), 100, *range(640, 900)]
+    lexicon = p04_alignment.Lexicon([])
+    pairs = p04_alignment.align("".join(sentences), "".join(sentences[i] for i in order), lexicon, bare_tables(lexicon))
+    assert sorted(pairs) == sorted((i * 10, n * 10) for n, i in enumerate(order))
+
+
+def slow_path(one, two, three):
+    """The best value of a path over log odds [target][sentence] by trying every move."""
+    m, n = one.shape
+    best = {0: 0.0}
+    for j in range(m):
+        new = {}
+        for last, v in best.items():
+            new[last] = max(new.get(last, -1e9), v + p04_alignment.NULL)
+            for start in range(n):
+                jump = {0: p04_alignment.NEXT, -1: p04_alignment.SAME, 1: p04_alignment.OVER}.get(start - last, p04_alignment.ANY)
+                for size, odds in enumerate((one, two, three)):
+                    if start + size < n:
+                        new[start + size + 1] = max(new.get(start + size + 1, -1e9), v + jump + p04_alignment.SPANS[size] + odds[j, start])
+        best = new
+    return max(best.values())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_decoding_is_the_best_path(seed):
+    rng = np.random.default_rng(seed)
+    n, m = rng.integers(1, 8, 2)
+    odds = rng.normal(0, 4, (1, m, 3, n)).round(3)
+    costs = np.array(p04_alignment.SPANS)[:, None] + np.where(np.arange(n) + np.arange(1, 4)[:, None] <= n, 0.0, -np.inf)
+    _, i, j = p04_alignment.decode(lambda lo, hi: odds[:, lo:hi] + costs, np.array([n]), np.array([m]))
+    by = {t: sorted(i[j == t].tolist()) for t in set(j.tolist())}
+    value, last = 0.0, 0
+    for t in range(m):
+        if t not in by:
+            value += p04_alignment.NULL
+            continue
+        jump = {0: p04_alignment.NEXT, -1: p04_alignment.SAME, 1: p04_alignment.OVER}.get(by[t][0] - last, p04_alignment.ANY)
+        size = len(by[t])
+        value += jump + p04_alignment.SPANS[size - 1] + odds[0, t, size - 1, by[t][0]]
+        last = by[t][-1] + 1
+    assert abs(value - slow_path(odds[0, :, 0], odds[0, :, 1], odds[0, :, 2])) < 1e-6
+
+
+WORDS = [("某甲守城", "guarded the town"), ("粟尽援绝", "grain ran out"), ("夜袭敌营", "raided the camp"), ("筑堤引水", "built a dike"), ("上表辞官", "resigned by letter"), ("开仓济民", "opened the granary"), ("大旱三年", "drought lasted"), ("遣使求和", "sent envoys")]
+
+
+def fitted_on(spark, docs, lexicon):
+    rows = spark.createDataFrame(docs, "doc_no long, original string, translation string").repartition(3)
+    return p04_alignment.fitted(p04_alignment.prepared(rows, lexicon), lexicon)
+
+
+def test_the_learned_table_answers_held_out_sentences(spark):
     rng = random.Random(1)
-    words = [("某甲守城", "guarded the town"), ("粟尽援绝", "grain ran out"), ("夜袭敌营", "raided the camp"), ("筑堤引水", "built a dike"), ("上表辞官", "resigned by letter"), ("开仓济民", "opened the granary"), ("大旱三年", "drought lasted"), ("遣使求和", "sent envoys")]
     docs = []
-    for _ in range(60):
-        some = rng.sample(words, 4)
-        docs.append(("".join(f"{a}。" for a, _ in some), " ".join(f"He {b}." for _, b in some)))
-    table = p04_alignment.learn(docs, p04_alignment.Lexicon([]))
-    answers = {x: p04_alignment.Answers(p04_alignment.Lexicon([]), table[x], x) for x in (True, False)}
+    for n in range(60):
+        some = rng.sample(WORDS, 4)
+        docs.append((n, "".join(f"{a}。" for a, _ in some), " ".join(f"He {b}." for _, b in some)))
+    lexicon = p04_alignment.Lexicon([])
+    tables = fitted_on(spark, docs, lexicon)
     right = total = 0
     for _ in range(40):
-        some = rng.sample(words, 5)
+        some = rng.sample(WORDS, 5)
         order = some[1:] + some[:1]
-        pairs = p04_alignment.align("".join(f"{a}。" for a, _ in some), " ".join(f"He {b}." for _, b in order), answers)
+        pairs = p04_alignment.align("".join(f"{a}。" for a, _ in some), " ".join(f"He {b}." for _, b in order), lexicon, tables)
         starts, at = {a: 5 * i for i, (a, _) in enumerate(some)}, 0
         for a, b in order:
             right += (starts[a], at) in pairs
@@ -130,24 +183,29 @@ def test_the_learned_table_answers_held_out_sentences():
     assert right >= 0.9 * total
 
 
-def test_the_table_is_learned_from_all_records_of_any_length(spark, tmp_path):
+def test_the_table_is_learned_from_all_records_of_any_length(spark):
     """A word that only five of 4,000 records have, and one that only texts of more than 4,000 characters have, get their answers."""
     rng = random.Random(2)
-    words = [("某甲守城", "guarded the town"), ("粟尽援绝", "grain ran out"), ("夜袭敌营", "raided the camp"), ("筑堤引水", "built a dike"), ("上表辞官", "resigned by letter"), ("开仓济民", "opened the granary")]
     docs = []
     for n in range(4000):
-        some = rng.sample(words, 3)
+        some = rng.sample(WORDS[:6], 3)
         if n % 800 == 7:
             some.insert(1, ("麒麟", "unicorn"))
         if n % 800 == 9:
             some = [*(some * 120), ("鸑鷟", "phoenix")]
-        docs.append(record(n, "".join(f"{a}。" for a, _ in some), " ".join(f"He {b}." for _, b in some)))
-    lexicon = p04_alignment.Lexicon([])
-    rows = spark.createDataFrame([(d[5], d[6]) for d in docs], "original string, translation string")
-    assert max(len(d[6]) for d in docs) > 4000
-    table = p04_alignment.fitted(rows.repartition(3), lexicon)
-    assert "unicorn" in dict(table[True]["麒麟"]) and "phoenix" in dict(table[True]["鸑鷟"])
-    assert table == p04_alignment.learn([(d[5], d[6]) for d in docs], lexicon)
+        docs.append((n, "".join(f"{a}。" for a, _ in some), " ".join(f"He {b}." for _, b in some)))
+    assert max(len(t) for _, _, t in docs) > 4000
+    table = fitted_on(spark, docs, p04_alignment.Lexicon([]))[True]
+    for a, b in (("麒麟", "unicorn"), ("鸑鷟", "phoenix")):
+        _, t, w = table.of(p04_alignment.grams_of([a]) >> np.uint64(2))
+        assert (p04_alignment.words_of([b])[0] >> np.uint64(2)) in t
+
+
+def test_packed_texts_come_back():
+    lexicon = p04_alignment.Lexicon([("甲", "甲", "Jia", "given")])
+    for x in p04_alignment.read([(5, "王甲守。三千。", "Wang Jia held. 3,000."), (9, "王甲守。", "王甲守住。"), (7, "", "")], lexicon):
+        for a, b in zip(x, p04_alignment.Texts.unpacked(x.packed())):
+            assert np.array_equal(a, b)
 
 
 def brute_spans(texts):
