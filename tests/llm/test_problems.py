@@ -248,28 +248,43 @@ def variants(rng, n):
     return texts
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("part_keys", [3_000_000, 100])
+def test_near_duplicates(monkeypatch, spark, part_keys):
+    """Also with many parts, several classes of sizes, and texts at the edges of the classes."""
+    monkeypatch.setattr(p06_neardup, "PART_KEYS", part_keys)
     texts = variants(random.Random(5), 150) | {900: "甲乙", 901: "甲乙", 902: "甲乙丙", 903: "甲乙丙"}
+    rng = random.Random(6)
+    for k, size in enumerate((44, 47, 48, 50, 70, 80, 236, 239, 241, 260, 390, 410, 1210)):
+        base = [chr(rng.randrange(0x4E00, 0x9000)) for _ in range(size)]
+        texts[1000 + 10 * k] = "".join(base)
+        for i, part in enumerate((0.0, 0.05, 0.08, 0.1, 0.3), 1):
+            more = [c if rng.random() > part else chr(rng.randrange(0x4E00, 0x9000)) for c in base] + ["尾"] * rng.randrange(1, 9)
+            texts[1000 + 10 * k + i] = "".join(more) + "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randrange(int(size * 0.3))))
     docs = spark.createDataFrame(list(texts.items()), "doc_no long, text string")
     pairs, members = p06_neardup.near_duplicates(docs)
     rep = {r.doc_no: r.rep for r in members.collect()}
-    got = {(r.a, r.b) for r in pairs.collect()}
+    got = [(r.a, r.b) for r in pairs.collect()]
     reps = sorted(set(rep.values()))
-    assert got == {(a, b) for a in reps for b in reps if a < b and p06_neardup.similar(texts[a], texts[b])}
+    want = {(a, b) for a in reps for b in reps if a < b and p06_neardup.similar(texts[a], texts[b])}
+    assert set(got) == want and len(got) == len(want) and sum(a >= 1000 for a, _ in want) > 40
     assert rep[901] == 900 and rep[903] == 902
 
 
-def test_hot_keys_are_split_without_loss(monkeypatch, spark):
+def test_hot_keys_are_split_without_loss(monkeypatch):
     monkeypatch.setattr(p06_neardup, "BLOCK", 4)
     rng = random.Random(7)
-    base = "".join(rng.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(120))
-    docs = np.arange(30)
-    size = np.sort(np.array([rng.randrange(60, 110) for _ in docs])).astype(np.int32)
-    blob = p06_neardup.blob(docs, size, np.full(30, 2), np.full(30, 2), np.tile([7, 9], 30))
-    import pandas as pd
-
-    found = {tuple(sorted(p)) for k, x, y in p06_neardup.met(pd.DataFrame({"part": [0], "data": [blob]}), 1) for a, b in p06_neardup.opened(k, x, y) for p in zip(a.tolist(), b.tolist())}
-    assert found == {(i, j) for i in range(30) for j in range(i + 1, 30) if min(size[i], size[j]) * 5 >= max(size[i], size[j]) * 3} and base
+    step = np.array([rng.randrange(100, 120) for _ in range(30)])
+    key, text = np.repeat([7, 9], 30), np.tile(np.arange(30) * 2 + 1, 2)
+    blob = p06_neardup.blob(key, text, np.tile(step, 2))
+    found = {tuple(sorted(p)) for k, x, y in p06_neardup.met([blob]) for a, b in p06_neardup.opened(k, x, y) for p in zip(a.tolist(), b.tolist())}
+    assert found == {(i, j) for i in range(30) for j in range(i + 1, 30) if abs(step[i] - step[j]) <= p06_neardup.STEPS}
+
+
+def test_blobs_come_back():
+    key, text, step = np.array([5, 5, 900, 1 << 50]), np.array([3, 1 << 40, (1 << 40) + 6, 8 + (1 << 33)]), np.array([0, 255, 3, 9])
+    text = (1 << 40) + np.array([3, 0, 6, 1 << 31])
+    for a, b in zip((key, text, step), p06_neardup.unpacked([p06_neardup.blob(key, text, step)])):
+        assert np.array_equal(a, b)
 
 
 def test_components(spark):
