@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Module of each problem, and its queries.
 QUERIES = {
     "p01_terms": ("p1_found", "p1_terms"),
-    "p02_lookalikes": ("p2_found", "p2_forms"),
+    "p02_lookalikes": ("p2_found", "p2_forms", "p2_classes"),
     "p03_pieces": ("p3_found", "p3_pieces"),
     "p06_neardup": ("p6_found", "p6_groups"),
     "p04_alignment": ("p4_found",),

@@ -38,6 +38,8 @@ DRAWN_ALIKE = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ": "ABEZHIKMNOPTYXCM",
     "οϲϳνα": "ocjva",
     "ՕՏՍօհոս": "OSUohnu",
+    "ικρυɑɡıɩӏһѵᴄᴏᴠᴡᴢѡգցզոռօհլ": "ikpuagiilhvcovwzwqgqnnohl",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
     "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ": "ABCDEHJKLMPSTVWZ",
 }
 # Radicals of the supplement block without a decomposition, and the ideographs of the same shape.
@@ -252,3 +254,13 @@ def alike(each: DataFrame) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of texts of one field that look the same and differ in some character."""
     return alike(all_formed(spark, sf_dir, False))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per text: field_name, key, its class (the least key of those that look the same), the texts of the class, the spellings among them, and the class's texts spelled otherwise."""
+    each = all_formed(spark, sf_dir, False)
+    # counted by spelling first, so that a large group of copies is combined on the map side
+    spelled = each.groupBy("field_name", "form", "raw").agg(F.count("*").alias("same"), F.min("key").alias("least"))
+    whole = spelled.groupBy("field_name", "form").agg(F.sum("same").alias("texts"), F.count("*").alias("spellings"), F.min("least").alias("class_id"))
+    both = each.join(spelled.drop("least"), ["field_name", "form", "raw"]).join(whole, ["field_name", "form"])
+    return both.select("field_name", "key", "class_id", "texts", "spellings", (F.col("texts") - F.col("same")).alias("links"))

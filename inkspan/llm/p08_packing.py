@@ -80,7 +80,8 @@ def packed(df: DataFrame, bins: int, capacity: int = CAPACITY, segments: int = S
         container, place = pack((pdf.token_end - pdf.token_start).to_numpy(), capacity, segments, loss)
         return pdf.assign(container=pdf.bin * (1 << 32) + container, place=place)[["container", "place", "doc_id", "piece_no", "token_start", "token_end"]]
 
-    return items.groupBy("bin").applyInPandas(fill, "container long, place long, doc_id long, piece_no long, token_start long, token_end long")
+    # as many partitions as bins: small in bytes, they would otherwise be merged into one task
+    return items.repartition(bins, "bin").groupBy("bin").applyInPandas(fill, "container long, place long, doc_id long, piece_no long, token_start long, token_end long")
 
 
 def p8_packed(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -104,7 +104,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, to
     scale = {s: supply[s][1] / supply[s][0] for s in need}
     slope = slopes(histogram, need, most, scale)
     rate = F.least(F.exp(F.least(mapped(slope) * F.col("tokens") / mapped(scale), F.lit(60.0))), mapped({s: float(m) for s, m in most.items()}))
-    buckets = mapped({s: max(1, round(n / BUCKET)) for s, (n, _) in supply.items()})
+    number = {s: max(1, round(n / BUCKET)) for s, (n, _) in supply.items()}
+    buckets = mapped(number)
     rows = texts.select("doc_id", "source", "tokens", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), buckets.cast("long")).alias("bucket"))
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, to
             copies.append(n)
         return pdf.assign(copies=copies)[["doc_id", "source", "tokens", "copies"]]
 
-    return rows.groupBy("source", "bucket").applyInPandas(rounded, "doc_id long, source string, tokens long, copies long").where("copies > 0")
+    return rows.repartition(sum(number.values()), "source", "bucket").groupBy("source", "bucket").applyInPandas(rounded, "doc_id long, source string, tokens long, copies long").where("copies > 0")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
