@@ -56,9 +56,9 @@ def bigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(F.split(c, " "), lambda b: F.length(b) >= 2), lambda b: windows(b, 2))))
 
 
-def mask(c: Column) -> Column:
-    """Text without its stop words, removed one after the other, the longest first."""
-    for w in MASK_ORDER:
+def mask(c: Column, words: list[str] | None = None) -> Column:
+    """Text without its stop words (or those given), removed one after the other, the longest first."""
+    for w in MASK_ORDER if words is None else sorted(words, key=lambda w: (-len(w), w)):
         c = F.replace(c, F.lit(w), F.lit(""))
     return c
 

@@ -11,10 +11,10 @@ from inkspan.functions import text
 HIGH_DF, SINGLE_COST, MAX_CONCERNS = 15, 4.0, 6
 
 
-def normalized(queries: DataFrame) -> DataFrame:
-    """(case_no, query) with its normal form and that form without stop words."""
+def normalized(queries: DataFrame, stops: list[str] | None = None) -> DataFrame:
+    """(case_no, query) with its normal form and that form without stop words, the packaged ones or those given."""
     norm = text.normalize(F.col("query"))
-    return queries.select("case_no", "query", norm.alias("norm")).withColumn("masked", text.mask(F.col("norm")))
+    return queries.select("case_no", "query", norm.alias("norm")).withColumn("masked", text.mask(F.col("norm"), stops))
 
 
 def query_grams(norm: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def _segment(block: Column, df: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(block)), end, walk, lambda s: s["out"])
 
 
-def tokens(norm: DataFrame, stats: DataFrame, n_docs: Column) -> DataFrame:
+def tokens(norm: DataFrame, stats: DataFrame, n_docs: Column, stop_words: list[str] | None = None) -> DataFrame:
     """(case_no, tokens): each query's blocks segmented by the index vocabulary, stop words dropped.
 
     Without any token the raw bigrams of the normal form stand in. At most 24 tokens, in order, each once.
@@ -62,7 +62,7 @@ def tokens(norm: DataFrame, stats: DataFrame, n_docs: Column) -> DataFrame:
     cut = blocks.join(maps, "block", "left").select("block", F.coalesce("df", empty).alias("df")).select("block", _segment(F.col("block"), F.col("df"), n_docs + 2).alias("pieces"))
     by_case = listed.join(cut, "block").groupBy("case_no").agg(F.array_sort(F.collect_list(F.struct("block_ord", "pieces"))).alias("b"))
     pieces = F.array_distinct(F.flatten(F.transform("b", lambda x: x["pieces"])))
-    stops = F.array(*[F.lit(w) for w in text.STOP_WORDS])
+    stops = F.array(*[F.lit(w) for w in (text.STOP_WORDS if stop_words is None else stop_words)])
     kept = F.filter(pieces, lambda t: ~F.array_contains(stops, t))
     rows = norm.join(by_case, "case_no", "left").select("case_no", "norm", F.coalesce(kept, F.array().cast("array<string>")).alias("kept"))
     return rows.select("case_no", F.slice(F.when(F.size("kept") > 0, F.col("kept")).otherwise(text.bigrams(F.col("norm"))), 1, text.MAX_TOKENS).alias("tokens"))

@@ -45,6 +45,33 @@ def short_rule(directed: DataFrame) -> DataFrame:
     return directed.where(F.length("term") < 3).select("label", "term", "df", "df_label", "p", allowed.alias("allowed"), edge.alias("edge"))
 
 
+def allow_list(ruled: DataFrame) -> DataFrame:
+    """(label, short_triggers) of labels with an allowed short trigger, the triggers in order; of ``short_rule``. A label's triggers are few."""
+    return ruled.where("allowed").groupBy("label").agg(F.array_sort(F.collect_set("term")).alias("short_triggers"))
+
+
+def patched(table: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The label table with ``short_triggers`` as the allow-list has them, and none where it has nothing; other columns stay."""
+    new = allowed.select("label", F.col("short_triggers").alias("new"))
+    return table.join(new, "label", "left").select(*[F.col("new").alias(c) if c == "short_triggers" else F.col(c) for c in table.columns])
+
+
+def sample_titles(pairs: DataFrame, post: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
+    """(label, term, positive, titles): titles of the first documents that hold a term, with and without the label as a theme, at most three of each.
+
+    Only the least numbers move; they are kept while partial results are combined.
+    """
+    found = pairs.select("label", "term").distinct().join(post, "term")
+    marked = found.join(themed(docs).withColumn("has", F.lit(True)), ["doc_no", "label"], "left").withColumn("positive", F.col("has").isNotNull())
+    keys = ["label", "term", "positive"]
+    # two steps, so that a term that a third of all documents hold is cut down in many tasks first
+    part = Window.partitionBy(*keys, F.pmod(F.xxhash64("doc_no"), F.lit(64))).orderBy("doc_no")
+    few = marked.withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
+    first = few.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_no"))).where(F.col("k") <= most)
+    listed = first.join(docs.select("doc_no", "title"), "doc_no").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doc_no", "title"))).alias("t"))
+    return listed.select(*keys, F.transform("t", lambda x: x["title"]).alias("titles"))
+
+
 def core_audit(triggers: DataFrame) -> DataFrame:
     """Triggers of three characters or more whose core is short or general, and what the bridge does with them."""
     core = F.length("core")

@@ -58,13 +58,29 @@ def manifest(docs: DataFrame, version: str) -> DataFrame:
     ).select(F.lit("books").alias("section"), "name", "sha256", F.lit(version).alias("version"))
 
 
-def manifest_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(section, name, state): remote entries that are new or whose hash differs, compared without case."""
-    a, b = remote.select("section", "name", F.col("sha256").alias("r")), local.select("section", "name", F.col("sha256").alias("l"))
+def manifest_diff(local: DataFrame, remote: DataFrame, real: DataFrame | None = None) -> DataFrame:
+    """(section, name, state): remote entries that are new or whose hash differs, compared without case.
+
+    With ``real`` (name, sha256), the hashes of the files that are there, the corpus as a whole and flat
+    files are compared with those, whatever the local manifest says; flat files by their bare name.
+    """
+    bare = F.when(F.col("section") == "files", F.regexp_extract("name", r"([^/\\]*)$", 1)).otherwise(F.col("name"))
+    a = remote.select("section", bare.alias("name"), F.col("sha256").alias("r")).where("name <> ''")
+    b = local.select("section", "name", F.col("sha256").alias("l"))
     rows = a.join(b, ["section", "name"], "left")
+    if real is not None:
+        by_file = (F.col("section") == "files") | (F.col("name") == WHOLE_CORPUS)
+        rows = rows.join(real.select("name", F.col("sha256").alias("f")), "name", "left").withColumn("l", F.when(by_file, F.col("f")).otherwise(F.col("l")))
     return rows.where(~F.lower("r").eqNullSafe(F.lower("l"))).select("section", "name", F.when(F.col("l").isNull(), "new").otherwise("changed").alias("state"))
 
 
+def readable(remote: DataFrame) -> DataFrame:
+    """The manifest; one without any entry is broken, not up to date, and is refused."""
+    if not remote.limit(1).count():
+        raise ValueError("the manifest has no entry")
+    return remote
+
+
 def group_key(book: Column, stem: Column | None = None) -> Column:
     """A document's book, else its file's stem, else the general name."""
     return F.coalesce(F.nullif(book, F.lit("")), F.nullif(stem, F.lit("")) if stem is not None else F.lit(None).cast("string"), F.lit("史料"))

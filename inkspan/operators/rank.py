@@ -52,6 +52,11 @@ def with_terms(shown: DataFrame, terms: DataFrame, post: DataFrame) -> DataFrame
     return shown.join(listed.select("case_no", "doc_no", F.transform("m", lambda x: x["t"]).alias("terms")), ["case_no", "doc_no"])
 
 
+def asked_top(top: int) -> int:
+    """How many passages a caller gets: the default where the number asked for is not within 1 to 10."""
+    return top if 1 <= top <= 10 else TOP
+
+
 def ranked(hits: DataFrame, top: int = TOP) -> DataFrame:
     """The best passages of each query: score, then matched terms, then the lower number. A limit below 1 means the default."""
     top = TOP if top <= 0 else top
@@ -101,16 +106,40 @@ def why(hits: DataFrame, labels_of: DataFrame) -> DataFrame:
     return pairs.select("case_no", "doc_no", F.transform(F.slice("w", 1, MAX_WHY), lambda x: F.struct(x["said"].alias("said"), x["label"].alias("label"))).alias("why"))
 
 
-def as_json(hits: DataFrame, reasons: DataFrame, docs: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_no, result): each query's answer as one JSON text; queries without hits get an empty list."""
+def as_json(hits: DataFrame, reasons: DataFrame, docs: DataFrame, cases: DataFrame, concerns: DataFrame, verdict_docs: Column, took_ms: int = 0) -> DataFrame:
+    """(case_no, result): each query's answer as one JSON text; queries without hits get an empty list.
+
+    It holds the query, the time taken as a whole, whether tiers apply, the documents with a verdict, the
+    query's concerns, the concerns each hit covers, for each tier the place of its hit (-1 for none; only
+    where tiers apply), and the hits.
+    """
     rows = hits.join(reasons, ["case_no", "doc_no"], "left").join(docs.select("doc_no", "title"), "doc_no")
     empty = F.array().cast("array<struct<said:string,label:string>>")
     hit = F.struct(F.col("slot"), F.col("doc_no"), F.col("title"), F.col("verdict"), text.fixed3(F.col("score")).alias("score"), F.col("terms"), F.col("coverage"), F.coalesce("why", empty).alias("why"))
     grouped = rows.groupBy("case_no").agg(F.array_sort(F.collect_list(hit)).alias("hits"), F.max("graded").alias("graded"))
-    placed = F.transform(F.array(*[F.lit(t) for t in TIERS]), lambda t: F.array_position(F.transform("hits", lambda h: h["verdict"]), t).cast("int") - 1)
+    placed = F.transform(F.array(*[F.lit(t) for t in TIERS]), lambda t: F.struct(t.alias("verdict"), (F.array_position(F.transform("hits", lambda h: h["verdict"]), t).cast("int") - 1).alias("hit")))
     listed = F.coalesce("hits", F.array().cast(grouped.schema["hits"].dataType))
-    out = F.struct(F.col("query"), F.coalesce("graded", F.lit(False)).alias("graded"), F.when(F.col("graded"), placed).alias("tiers"), listed.alias("hits"))
-    return cases.select("case_no", "query").join(grouped, "case_no", "left").select("case_no", F.to_json(out).alias("result"))
+    none = F.array().cast("array<string>")
+    out = F.struct(
+        F.col("query"), F.lit(took_ms).alias("tookMs"), F.coalesce("graded", F.lit(False)).alias("graded"), verdict_docs.alias("verdictDocs"), F.coalesce("concerns", none).alias("concerns"),
+        F.transform(listed, lambda h: h["coverage"]).alias("coverage"), F.when(F.col("graded"), placed).alias("tiers"), listed.alias("hits"),
+    )
+    return cases.select("case_no", "query").join(grouped, "case_no", "left").join(concerns, "case_no", "left").select("case_no", F.to_json(out).alias("result"))
+
+
+def situation_strip(concerns: DataFrame, reasons: DataFrame, most: int = 3) -> DataFrame:
+    """(case_no, place, label, said): what was recognized of a query: its concerns in order, then further labels its hits name, each with at most three phrases said.
+
+    ``reasons`` is (case_no, slot, why); a phrase equal to its label is no evidence. Queries without either have no row.
+    """
+    each = reasons.select("case_no", "slot", F.posexplode("why").alias("p", "w")).select("case_no", "slot", "p", "w.said", "w.label").where("said <> label and said <> ''")
+    first = each.groupBy("case_no", "label", "said").agg(F.min(F.struct("slot", "p")).alias("at"))
+    quoted = first.groupBy("case_no", "label").agg(F.array_sort(F.collect_list(F.struct("at", "said"))).alias("s"))
+    quotes = quoted.select("case_no", "label", F.slice(F.transform("s", lambda x: x["said"]), 1, most).alias("said"), F.col("s")[0]["at"].alias("at"))
+    listed = concerns.select("case_no", F.posexplode(F.array_distinct("concerns")).alias("c", "label"))
+    rows = listed.join(quotes, ["case_no", "label"], "full_outer")
+    w = Window.partitionBy("case_no").orderBy(F.col("c").asc_nulls_last(), "at")
+    return rows.select("case_no", (F.row_number().over(w) - 1).alias("place"), "label", F.coalesce("said", F.array().cast("array<string>")).alias("said"))
 
 
 def offline(cases: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:

@@ -184,10 +184,68 @@ def title_of(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(stem(name), "^第[^-]*章-", ""), "^-", ""))
 
 
-def pairing(docs: DataFrame) -> DataFrame:
-    """(book, docs, translated, pairing): how much of each book has a translation."""
+def scope(rel: Column) -> Column:
+    """The first folder of a path and a colon, or ''; volumes are counted anew in each."""
+    return F.when(F.contains(rel, F.lit("/")), F.concat(F.substring_index(rel, "/", 1), F.lit(":"))).otherwise("")
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """(page, level, key) of pages (page, rel): path without ending, stem, title, volume within its folder, volume; in order of trust. Short keys do not count."""
+    name = F.regexp_extract("rel", "([^/]*)$", 1)
+    folder = F.regexp_extract("rel", "^(.*/)?[^/]*$", 1)
+    vol = volume(stem(name))
+    keys = F.array(
+        F.concat(F.lit("R:"), folder, stem(name)),
+        F.concat(F.lit("S:"), stem(name)),
+        F.when(title_of(name) != "", F.concat(F.lit("~"), title_of(name))),
+        F.when(vol > 0, F.concat(F.lit("V:"), scope(F.col("rel")), vol)),
+        F.when(vol > 0, F.concat(F.lit("V:"), vol)),
+    )
+    return pages.select("page", F.posexplode(keys).alias("level", "key")).where("key is not null and (length(key) > 2 or level > 2)")
+
+
+def translations_of(originals: DataFrame, translations: DataFrame) -> DataFrame:
+    """(page, other, level): for each page (page, rel) the translated page found by the first of its keys that leads to one.
+
+    Of several pages with one key the first by path counts, but a volume only if it is unique. Pages shorter than 20
+    characters and introductions are left out by the caller (``translated_pages``).
+    """
+    theirs = keyed(translations).groupBy("level", "key").agg(F.count("*").alias("n"), F.min("page").alias("other")).where("level < 3 or n = 1").drop("n")
+    found = keyed(originals).join(theirs, ["level", "key"])
+    best = found.groupBy("page").agg(F.min(F.struct("level", "other")).alias("b"))
+    return best.select("page", F.col("b.other").alias("other"), F.col("b.level").alias("level"))
+
+
+def translated_pages(pages: DataFrame, least: int = 20) -> DataFrame:
+    """Pages (rel, html) that can be a translation: no introduction, a body of at least 20 characters; numbered ``page`` in order of path by their path."""
+    ok = ~F.contains("rel", F.lit("简介")) & (F.length(cleaned(body(F.col("html")))) >= least)
+    return pages.where(ok).withColumn("page", F.col("rel"))
+
+
+def filtered_items(docs: DataFrame, original: int = 16, translation: int = 20) -> DataFrame:
+    """Documents long enough to keep: the original has 16 characters; a translation of fewer than 20 is none."""
+    rows = docs.where(F.length("original") >= original)
+    return rows.withColumn("translation", F.when(F.length("translation") >= translation, F.col("translation")).otherwise(""))
+
+
+def head(docs: DataFrame, limit: int, only: list[str] | None = None, by: str = "book", order: str = "doc_no") -> DataFrame:
+    """The first ``limit`` documents of each book or file (all for 0), of the books named only.
+
+    A book's numbers are cut down in many tasks first, so a third of all rows in one book gathers nowhere.
+    """
+    rows = docs if only is None else docs.where(F.col("book").isin(only))
+    if limit <= 0:
+        return rows
+    part = Window.partitionBy(by, F.pmod(F.xxhash64(order), F.lit(64))).orderBy(order)
+    few = rows.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= limit)
+    return few.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_k") <= limit).drop("_k")
+
+
+def pairing(docs: DataFrame, by_chapter: Column | None = None) -> DataFrame:
+    """(book, docs, translated, pairing): how much of each book has a translation; ``by_chapter`` says which documents were aligned by whole chapters."""
     n, t = F.count("*"), F.count_if(F.col("translation") != "")
-    mode = F.when(t == 0, "仅原文").when(t == n, "段译配对").otherwise("部分对齐")
+    whole = F.lit(0) if by_chapter is None else F.count_if(by_chapter & (F.col("translation") != ""))
+    mode = F.when(t == 0, "仅原文").when(t != n, "部分对齐").when(whole > 0, "整章对齐").otherwise("段译配对")
     return docs.groupBy("book").agg(n.alias("docs"), t.alias("translated"), mode.alias("pairing"))
 
 

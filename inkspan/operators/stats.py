@@ -63,6 +63,39 @@ def catalog_totals(catalog: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("slug", "book", F.col("docs").cast("long").alias("docs_declared"), F.coalesce("docs_now", F.lit(0)).alias("docs_now"), F.col("chars").alias("chars_declared"), F.coalesce("chars_now", F.lit(0)).alias("chars_now"))
 
 
+def library_totals(catalog: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row: the shards of the catalog and their bytes, and those of them that are selected, slugs compared without case."""
+    some = chosen.select(F.lower("slug").alias("k")).distinct().withColumn("on", F.lit(True))
+    rows = catalog.where("slug <> '' and book <> ''").withColumn("k", F.lower("slug")).join(some, "k", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(F.count("*").alias("books"), total("bytes").alias("installed_bytes"), F.count("on").alias("selected"), total(F.when(F.col("on"), F.col("bytes"))).alias("selected_bytes"))
+
+
+def snapshot(docs: DataFrame, catalog: DataFrame, chosen: DataFrame, version: str) -> DataFrame:
+    """One row, the state of the library: documents loaded, shards selected, whether a catalog is there, the version."""
+    t = library_totals(catalog, chosen)
+    return t.select(docs.agg(F.count("*").alias("n")).scalar().alias("docs"), F.col("selected").alias("books"), (F.col("books") > 0).alias("library_installed"), F.lit(version).alias("version"))
+
+
+def body_lengths(docs: DataFrame) -> DataFrame:
+    """One row: documents, and the mean, median, 90 % and largest length of title, original and translation together (nearest rank); lengths are counted first."""
+    n = F.length(F.concat("title", "original", "translation"))
+    counts = docs.groupBy(n.alias("n")).agg(F.count("*").alias("c"))
+    h = counts.agg(F.sum("c").alias("docs"), F.sum(F.col("n") * F.col("c")).alias("chars"), F.array_sort(F.collect_list(F.struct("n", "c"))).alias("h"))
+
+    def at(rank: object) -> object:
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("v"))
+        return F.aggregate("h", start, lambda s, x: F.struct((s["seen"] + x["c"]).alias("seen"), F.when(s["v"].isNull() & (s["seen"] + x["c"] > rank), x["n"]).otherwise(s["v"]).alias("v")), lambda s: s["v"])
+
+    return h.select("docs", F.round(F.col("chars") / F.col("docs"), 6).alias("mean_len"), at(F.floor(F.col("docs") / 2)).alias("p50_len"), at(F.floor(F.col("docs") * 9 / 10)).alias("p90_len"), at(F.col("docs") - 1).alias("max_len"))
+
+
+def repeated_keys(docs: DataFrame) -> DataFrame:
+    """(book, chapter, item_index, docs): keys that several documents have; documents without book have none."""
+    rows = docs.where("book <> ''").groupBy("book", "chapter", "item_index").agg(F.count("*").alias("docs"))
+    return rows.where("docs > 1")
+
+
 def completeness(docs: DataFrame) -> DataFrame:
     """(doc_no, violation): short originals and translations, too few themes, pros or cons outside two to three, no book."""
     rules = {

@@ -139,7 +139,8 @@ def search_why(spark, d):
 @query
 def search_json(spark, d):
     p = pipeline(spark, d)
-    return rank.as_json(p.tiers, rank.why(p.tiers, p.expanded), tables.documents(spark, d, "title"), p.cases)
+    graded = tables.documents(spark, d, "verdict").agg(F.count_if(F.col("verdict") != "").alias("n")).scalar()
+    return rank.as_json(p.tiers, rank.why(p.tiers, p.expanded), tables.documents(spark, d, "title"), p.cases, p.concerns, graded)
 
 
 @query
@@ -227,9 +228,68 @@ def titles_why(spark, d):
     return rank.why(p.tiers, p.expanded).select("case_no", "doc_no", pairs.alias("why"))
 
 
+@query
+def texts_bridge(spark, d):
+    """The triggers that whole translations hold."""
+    return pipeline(spark, d, "texts").matches.select("case_no", "label", "trigger")
+
+
+@query
+def texts_expanded(spark, d):
+    return pipeline(spark, d, "texts").expanded.select("case_no", "label", shown("said"))
+
+
+@query
+def texts_concerns(spark, d):
+    return pipeline(spark, d, "texts").concerns.select("case_no", shown("concerns"))
+
+
+@query
+def texts_tiers(spark, d):
+    return pipeline(spark, d, "texts").tiers.select("case_no", "slot", "verdict", "doc_no", score(), "coverage", "graded")
+
+
+@query
+def texts_why(spark, d):
+    p = pipeline(spark, d, "texts")
+    pairs = F.array_join(F.transform("why", lambda x: F.concat(x["said"], F.lit(">"), x["label"])), "|")
+    return rank.why(p.tiers, p.expanded).select("case_no", "doc_no", pairs.alias("why"))
+
+
+@query
+def texts_strip(spark, d):
+    """What was recognized of whole translations, with the phrases that say it."""
+    p = pipeline(spark, d, "texts")
+    reasons = rank.why(p.tiers, p.expanded).join(p.tiers.select("case_no", "doc_no", "slot"), ["case_no", "doc_no"])
+    return rank.situation_strip(p.concerns, reasons).select("case_no", "place", "label", shown("said"))
+
+
 # statistics
 
 
+@query
+def library_totals(spark, d):
+    catalog = tables.read(spark, d, "shard_catalog")
+    return stats.library_totals(catalog, merge.selection(_asked_shards(spark), catalog))
+
+
+@query
+def library_snapshot(spark, d):
+    catalog = tables.read(spark, d, "shard_catalog")
+    return stats.snapshot(tables.documents(spark, d, "book"), catalog, merge.selection(_asked_shards(spark), catalog), "1")
+
+
+@query
+def body_lengths(spark, d):
+    return stats.body_lengths(tables.documents(spark, d, "title", "original", "translation"))
+
+
+@query
+def repeated_keys(spark, d):
+    docs = tables.latest(tables.read(spark, d, "corpus_doc").select("doc_no", "book", "chapter", "item_index", "loaded_at"), "doc_no", "loaded_at")
+    return stats.repeated_keys(docs.drop("loaded_at"))
+
+
 @query
 def book_counts(spark, d):
     return stats.book_counts(tables.documents(spark, d, "book"))
@@ -289,6 +349,18 @@ def trigger_allow(spark, d):
     return labels.short_rule(_directed(spark, d))
 
 
+@query
+def allow_list(spark, d):
+    return labels.allow_list(labels.short_rule(_directed(spark, d))).select("label", shown("short_triggers"))
+
+
+@query
+def sample_titles(spark, d):
+    p = pipeline(spark, d)
+    pairs = p.labels.select("label", F.col("trigger").alias("term"))
+    return labels.sample_titles(pairs, p.postings, tables.documents(spark, d, "title", "themes")).select("label", "term", "positive", shown("titles"))
+
+
 @query
 def core_audit(spark, d):
     return labels.core_audit(pipeline(spark, d).triggers)
@@ -442,6 +514,17 @@ def pairing_modes(spark, d):
     return shaping.pairing(tables.documents(spark, d, "book", "translation"))
 
 
+@query
+def filtered_items(spark, d):
+    return shaping.filtered_items(tables.documents(spark, d, "original", "translation")).select("doc_no", (F.col("translation") != "").alias("translated"))
+
+
+@query
+def head_of_books(spark, d):
+    """The first ten documents of three books."""
+    return shaping.head(tables.documents(spark, d, "book"), 10, ["芦原书", "雁录", "柘志"]).select("doc_no", "book")
+
+
 @query
 def stratified_sample(spark, d):
     return shaping.stratified(tables.documents(spark, d, "book", "chapter", "title"), 2)

@@ -24,11 +24,12 @@ class Pipeline:
 
     @cached_property
     def cases(self) -> DataFrame:
-        """The cases asked, or the titles of the records whose number is divisible by 50."""
+        """The cases asked, or the titles or translations of the records whose number is divisible by 50."""
         if self.asked == "cases":
             return tables.cases(self.spark, self.sf_dir)
-        titles = tables.documents(self.spark, self.sf_dir, "title").where("doc_no % 50 = 0")
-        return titles.select(F.col("doc_no").alias("case_no"), F.col("title").alias("query"))
+        column = {"titles": "title", "texts": "translation"}[self.asked]
+        texts = tables.documents(self.spark, self.sf_dir, column).where("doc_no % 50 = 0")
+        return texts.select(F.col("doc_no").alias("case_no"), F.col(column).alias("query"))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -106,6 +107,13 @@ class Pipeline:
         return self.with_terms(tiers).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+    def release(self) -> None:
+        """Gives back what is kept of the parts built."""
+        for part in list(vars(self).values()):
+            if isinstance(part, DataFrame) and part.is_cached:
+                part.unpersist()
+
+
 class Curated(Pipeline):
     """The same over the records of one book alone, with its own counts."""
 
@@ -122,6 +130,12 @@ class Curated(Pipeline):
         return self.docs.count()
 
 
+def release() -> None:
+    """Gives back all pipelines kept, so that the next query builds its own."""
+    while _held:
+        _held.popitem()[1].release()
+
+
 _held: dict[tuple[str, str, str], Pipeline] = {}
 
 
@@ -130,6 +144,6 @@ def pipeline(spark: SparkSession, sf_dir: str, asked: str = "cases") -> Pipeline
     key = (spark.sparkContext.applicationId, sf_dir, asked)
     if key not in _held:
         for other in [k for k in _held if k[:2] != key[:2]]:
-            del _held[other]
+            _held.pop(other).release()
         _held[key] = Pipeline(spark, sf_dir, asked)
     return _held[key]

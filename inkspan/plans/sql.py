@@ -18,7 +18,7 @@ _ARRAYS = ["figures", "themes", "pros", "cons", "cast_list"]
 _one = ", ".join(f"max_by({c}, loaded_at) AS {c}" for c in [*_STRINGS, *_ARRAYS, "verdict", "item_index"])
 DOC = (
     f"raw AS (SELECT doc_no, {_one} FROM corpus_doc WHERE doc_no IS NOT NULL GROUP BY doc_no),\n"
-    f"doc AS (SELECT doc_no, item_index, {', '.join(f'coalesce({c}, chr(0)[1:0]) AS {c}' for c in _STRINGS)}, {', '.join(f'{_list(c)} AS {c}' for c in _ARRAYS)},\n"
+    f"doc AS MATERIALIZED (SELECT doc_no, item_index, {', '.join(f'coalesce({c}, chr(0)[1:0]) AS {c}' for c in _STRINGS)}, {', '.join(f'{_list(c)} AS {c}' for c in _ARRAYS)},\n"
     f"  CASE WHEN v IN ('上', '上策') THEN '上' WHEN v IN ('中', '中策') THEN '中' WHEN v IN ('下', '下策') THEN '下' ELSE '' END AS verdict\n"
     f"  FROM (SELECT *, regexp_replace(regexp_replace(coalesce(verdict, ''), '^{TRIM}', ''), '{TRIM}$', '') AS v FROM raw))"
 ).replace("chr(0)[1:0]", "''")
@@ -31,6 +31,7 @@ def _masked(c: str) -> str:
 
 
 CASES = "ask AS (SELECT case_no, coalesce(max_by(query, asked_at), '') AS query, coalesce(max_by(want, asked_at), []::VARCHAR[]) AS want, coalesce(max_by(confidence, asked_at), '') AS confidence FROM cases WHERE case_no IS NOT NULL GROUP BY case_no)"
+TEXTS = "ask AS (SELECT doc_no AS case_no, translation AS query FROM doc WHERE doc_no % 50 = 0)"
 TITLES = "ask AS (SELECT doc_no AS case_no, title AS query FROM doc WHERE doc_no % 50 = 0)"
 _full, _half = text.FULL + "　", (text.HALF + " ").replace("'", "''")
 NORM = (
@@ -40,8 +41,8 @@ NORM = (
 GRAMS = (
     f"fld AS (SELECT doc_no, unnest([title, original, translation, decision, outcome, cause, process, significance, verdict_why] || figures || themes || cast_list) AS t FROM doc),\n"
     f"blk AS (SELECT doc_no, unnest(regexp_extract_all(t, '[{W}]+')) AS b FROM fld),\n"
-    "gram AS (SELECT DISTINCT doc_no, substr(b, i, k) AS term FROM (SELECT doc_no, b, k, unnest(range(1, length(b) - k + 2)) AS i FROM blk, (VALUES (2), (3), (4)) v(k) WHERE length(b) >= k)),\n"
-    "df AS (SELECT term, count(*) AS df FROM gram GROUP BY term),\n"
+    "gram AS MATERIALIZED (SELECT DISTINCT doc_no, substr(b, i, k) AS term FROM (SELECT doc_no, b, k, unnest(range(1, length(b) - k + 2)) AS i FROM blk, (VALUES (2), (3), (4)) v(k) WHERE length(b) >= k)),\n"
+    "df AS MATERIALIZED (SELECT term, count(*) AS df FROM gram GROUP BY term),\n"
     "nd AS (SELECT count(*)::DOUBLE AS n FROM doc)"
 )
 LABELS = (
@@ -184,6 +185,29 @@ def oracle_sql() -> dict[str, str]:
         "titles_concerns": _bridge("SELECT case_no, array_to_string(concerns, '|') AS concerns FROM con", TITLES),
         "titles_tiers": _search("SELECT case_no, slot, verdict, doc_no, round(score, 6) AS score, coverage, graded FROM tier", TITLES),
         "titles_why": _search("SELECT case_no, doc_no, why FROM why", TITLES),
+        "texts_bridge": _bridge("SELECT case_no, label, trigger FROM mat", TEXTS),
+        "texts_expanded": _bridge("SELECT case_no, label, array_to_string(said, '|') AS said FROM expd", TEXTS),
+        "texts_concerns": _bridge("SELECT case_no, array_to_string(concerns, '|') AS concerns FROM con", TEXTS),
+        "texts_tiers": _search("SELECT case_no, slot, verdict, doc_no, round(score, 6) AS score, coverage, graded FROM tier", TEXTS),
+        "texts_why": _search("SELECT case_no, doc_no, why FROM why", TEXTS),
+        "texts_strip": _search(
+            "SELECT case_no, (row_number() OVER (PARTITION BY case_no ORDER BY c NULLS LAST, slot, p, s) - 1)::INT AS place, label, array_to_string(coalesce(said, []::VARCHAR[]), '|') AS said FROM ("
+            "SELECT coalesce(a.case_no, b.case_no) AS case_no, coalesce(a.label, b.label) AS label, c, slot, p, s, said FROM (SELECT case_no, unnest(concerns) AS label, unnest(range(1, len(concerns) + 1)) AS c FROM con) a FULL JOIN ("
+            "SELECT case_no, label, (list(said ORDER BY slot, p, s))[1:3] AS said, min((slot, p, s)) AS m, min(slot * 1000000 + p * 1000 + s) AS at, arg_min(slot, slot * 1000000 + p * 1000 + s) AS slot, arg_min(p, slot * 1000000 + p * 1000 + s) AS p, arg_min(s, slot * 1000000 + p * 1000 + s) AS s FROM ("
+            "SELECT case_no, label, said, min(slot) AS slot, arg_min(p, slot * 1000000 + p * 1000 + s) AS p, arg_min(s, slot * 1000000 + p * 1000 + s) AS s FROM (SELECT * FROM (SELECT w.*, t.slot, row_number() OVER (PARTITION BY w.case_no, w.doc_no ORDER BY w.p, w.s) AS r FROM why1 w JOIN tier t USING (case_no, doc_no) WHERE w.said <> w.label) WHERE r <= 4) GROUP BY ALL) GROUP BY ALL) b ON a.case_no = b.case_no AND a.label = b.label)",
+            TEXTS,
+        ),
+        "theme_highlights": _search("SELECT case_no, doc_no, array_to_string(list_filter(themes, lambda x, i: list_position(themes, x) = i AND length(x) >= 2 AND contains(query, x)), '|') AS highlighted FROM tier JOIN doc USING (doc_no) JOIN ask USING (case_no)"),
+        "recall_by_confidence": _search("SELECT confidence, count(*) AS cases, count(*) FILTER (coalesce(len(list_filter(want, lambda w: len(list_filter(t, lambda x: contains(x, w))) > 0)) > 0, false)) AS passed FROM ask LEFT JOIN (SELECT case_no, list(title) AS t FROM tier JOIN doc USING (doc_no) GROUP BY case_no) USING (case_no) GROUP BY confidence"),
+        "library_totals": "SELECT count(*) AS books, sum(bytes)::BIGINT AS installed_bytes, count(*) FILTER (lower(slug) IN ('jiuji', 'yanlu', 'zhezhi')) AS selected, coalesce(sum(bytes) FILTER (lower(slug) IN ('jiuji', 'yanlu', 'zhezhi')), 0)::BIGINT AS selected_bytes FROM shard_catalog WHERE slug <> '' AND book <> ''",
+        "library_snapshot": "SELECT (SELECT count(DISTINCT doc_no) FROM corpus_doc) AS docs, count(*) FILTER (lower(slug) IN ('jiuji', 'yanlu', 'zhezhi')) AS books, count(*) > 0 AS library_installed, '1' AS version FROM shard_catalog WHERE slug <> '' AND book <> ''",
+        "body_lengths": _with(DOC, last="SELECT count(*) AS docs, round(avg(n), 6) AS mean_len, l[count(*) // 2 + 1] AS p50_len, l[count(*) * 9 // 10 + 1] AS p90_len, max(n) AS max_len FROM (SELECT length(title || original || translation)::INT AS n FROM doc), (SELECT list(length(title || original || translation)::INT ORDER BY length(title || original || translation)) AS l FROM doc) GROUP BY l"),
+        "repeated_keys": "SELECT book, chapter, item_index, count(DISTINCT doc_no) AS docs FROM corpus_doc WHERE book <> '' AND doc_no IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_no) > 1",
+        "allow_list": _with(DOC, GRAMS, LABELS, DIRECTED, last="SELECT label, array_to_string(list(DISTINCT term ORDER BY term), '|') AS short_triggers FROM dirp WHERE length(term) < 3 AND df BETWEEN 2 AND 15 AND p >= 0.6 GROUP BY label"),
+        "sample_titles": _with(DOC, GRAMS, LABELS, THEMED, last="SELECT label, term, positive, array_to_string(list(title ORDER BY doc_no), '|') AS titles FROM (SELECT *, row_number() OVER (PARTITION BY label, term, positive ORDER BY doc_no) AS k FROM (SELECT l.label, l.trigger AS term, doc_no, title, t.label IS NOT NULL AS positive FROM (SELECT DISTINCT label, trigger FROM lab) l JOIN gram g ON g.term = l.trigger JOIN doc USING (doc_no) LEFT JOIN thm t USING (doc_no, label))) WHERE k <= 3 GROUP BY ALL"),
+        "filtered_items": _with(DOC, last="SELECT doc_no, length(translation) >= 20 AS translated FROM doc WHERE length(original) >= 16"),
+        "head_of_books": _with(DOC, last="SELECT doc_no, book FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY doc_no) AS k FROM doc WHERE book IN ('芦原书', '雁录', '柘志')) WHERE k <= 10"),
+        "manifest_diff": _with(DOC, last="SELECT 'books' AS section, CASE WHEN book = '' THEN '史料' ELSE book END AS name, CASE WHEN book = '旧记' THEN 'new' ELSE 'changed' END AS state FROM doc WHERE book = '旧记' OR (doc_no % 7 = 0 AND book IN ('雁录', '柘志')) GROUP BY ALL"),
         "book_counts": _with(DOC, last="SELECT book, count(*) AS docs FROM doc GROUP BY book"),
         "annotation_coverage": _with(DOC, last="SELECT count(*) AS docs, count(*) FILTER (len(cast_list) > 0 OR len(themes) > 0 OR cause <> '' OR process <> '' OR significance <> '') AS annotated, count(*) FILTER (len(cast_list) > 0) AS with_cast, count(*) FILTER (len(themes) > 0) AS with_themes FROM doc"),
         "verdict_counts": _with(DOC, last="SELECT count(*) FILTER (verdict <> '') AS total, count(*) FILTER (verdict = '上') AS upper, count(*) FILTER (verdict = '中') AS middle, count(*) FILTER (verdict = '下') AS lower FROM doc"),
