@@ -256,6 +256,42 @@ def texts_why(spark, d):
     return rank.why(p.tiers, p.expanded).select("case_no", "doc_no", pairs.alias("why"))
 
 
+@query
+def phrases_bridge(spark, d):
+    """The triggers found in every trigger phrase of the label table, in six wordings."""
+    return pipeline(spark, d, "phrases").matches.select("case_no", "label", "trigger")
+
+
+@query
+def phrases_expanded(spark, d):
+    return pipeline(spark, d, "phrases").expanded.select("case_no", "label", shown("said"))
+
+
+@query
+def phrases_concerns(spark, d):
+    return pipeline(spark, d, "phrases").concerns.select("case_no", shown("concerns"))
+
+
+@query
+def phrases_tiers(spark, d):
+    return pipeline(spark, d, "phrases").tiers.select("case_no", "slot", "verdict", "doc_no", score(), "coverage", "graded")
+
+
+@query
+def phrases_why(spark, d):
+    p = pipeline(spark, d, "phrases")
+    pairs = F.array_join(F.transform("why", lambda x: F.concat(x["said"], F.lit(">"), x["label"])), "|")
+    return rank.why(p.tiers, p.expanded).select("case_no", "doc_no", pairs.alias("why"))
+
+
+@query
+def phrases_strip(spark, d):
+    """What was recognized of every phrase, with the words that say it."""
+    p = pipeline(spark, d, "phrases")
+    reasons = rank.why(p.tiers, p.expanded).join(p.tiers.select("case_no", "doc_no", "slot"), ["case_no", "doc_no"])
+    return rank.situation_strip(p.concerns, reasons).select("case_no", "place", "label", shown("said"))
+
+
 @query
 def texts_strip(spark, d):
     """What was recognized of whole translations, with the phrases that say it."""

@@ -12,6 +12,19 @@ from inkspan.operators import bridge, index, rank
 from inkspan.sources import tables
 
 
+def frames(t: Column) -> list[Column]:
+    """A trigger phrase as it may be said: in a sentence, negated, with a character between, with too many between, with stop words within, and after a negation that is set apart."""
+    rest = lambda n: F.substring(t, n, F.length(t))
+    return [
+        F.concat(F.lit("近来"), t, F.lit("，该当如何？")),
+        F.concat(F.lit("并不"), t),
+        F.concat(F.substring(t, 1, 1), F.lit("一"), rest(2), F.lit("！")),
+        F.concat(F.substring(t, 1, 2), F.lit("三五七"), rest(3)),
+        F.concat(F.lit("已经"), F.substring(t, 1, 1), F.lit("已经"), rest(2), F.lit("但是")),
+        F.concat(F.lit("没有，"), t, F.lit("。再说")),
+    ]
+
+
 class Pipeline:
     """From cases to ranked passages. Postings are restricted to the terms that queries and labels ask for, and kept once built."""
 
@@ -24,9 +37,12 @@ class Pipeline:
 
     @cached_property
     def cases(self) -> DataFrame:
-        """The cases asked, or the titles or translations of the records whose number is divisible by 50."""
+        """The cases asked, the titles or translations of the records whose number is divisible by 50, or every trigger phrase in several wordings."""
         if self.asked == "cases":
             return tables.cases(self.spark, self.sf_dir)
+        if self.asked == "phrases":
+            framed = self.labels.select("label_ord", "trigger_ord", F.posexplode(F.array(*frames(F.col("trigger")))).alias("frame", "query"))
+            return framed.select((F.col("label_ord") * 10_000 + F.col("trigger_ord") * 10 + F.col("frame")).cast("long").alias("case_no"), "query")
         column = {"titles": "title", "texts": "translation"}[self.asked]
         texts = tables.documents(self.spark, self.sf_dir, column).where("doc_no % 50 = 0")
         return texts.select(F.col("doc_no").alias("case_no"), F.col(column).alias("query"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from inkspan.functions import text
-
+# Written out here, not taken from the code that these queries check.
+FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+HALF = "".join(chr(c) for c in range(0x21, 0x7F))
+NEGATIONS = "不没无别勿莫"
+STOPS = (
+    "不断 互相 已经 有人 一直 可能 应该 需要 很多 时候 地方 事情 问题 情况 方面 这样 那样 这些 那些 一样 什么 怎么 如何 多少 几个 因为 所以 因此 因而 从而 但是 而且 如果 虽然 然后 还是 或者 还有 就是 只是 不过 甚至 "
+    "尤其 反而 现在 当时 如今 之前 之后 以后 以前 目前 起来 还在 一起 一再 越来越 最重 我们 他们 你们 自己 对方 别人 大家 上面 下面 里面 外面 一个 一次 每次"
+).split()
 W = "一-鿿㐀-䶿0-9A-Za-z"
 TRIM = r"[\s\p{Z}\x{1c}-\x{1f}]+"
 
@@ -25,7 +31,7 @@ DOC = (
 
 
 def _masked(c: str) -> str:
-    for w in text.MASK_ORDER:
+    for w in sorted(STOPS, key=lambda w: (-len(w), w)):
         c = f"replace({c}, '{w}', '')"
     return c
 
@@ -33,7 +39,7 @@ def _masked(c: str) -> str:
 CASES = "ask AS (SELECT case_no, coalesce(max_by(query, asked_at), '') AS query, coalesce(max_by(want, asked_at), []::VARCHAR[]) AS want, coalesce(max_by(confidence, asked_at), '') AS confidence FROM cases WHERE case_no IS NOT NULL GROUP BY case_no)"
 TEXTS = "ask AS (SELECT doc_no AS case_no, translation AS query FROM doc WHERE doc_no % 50 = 0)"
 TITLES = "ask AS (SELECT doc_no AS case_no, title AS query FROM doc WHERE doc_no % 50 = 0)"
-_full, _half = text.FULL + "　", (text.HALF + " ").replace("'", "''")
+_full, _half = FULL + "　", (HALF + " ").replace("'", "''")
 NORM = (
     f"n0 AS (SELECT case_no, trim(regexp_replace(translate(query, '{_full}', '{_half}'), '[^{W}]+', ' ', 'g')) AS norm FROM ask),\n"
     f"norm AS (SELECT case_no, norm, {_masked('norm')} AS masked FROM n0)"
@@ -45,18 +51,21 @@ GRAMS = (
     "df AS MATERIALIZED (SELECT term, count(*) AS df FROM gram GROUP BY term),\n"
     "nd AS (SELECT count(*)::DOUBLE AS n FROM doc)"
 )
-LABELS = (
+LAB = (
     "lab0 AS (SELECT label, coalesce(any_value(short_triggers), []::VARCHAR[]) AS short, coalesce(any_value(triggers), []::VARCHAR[]) AS triggers FROM label_table WHERE label <> '' GROUP BY label),\n"
     "lab1 AS (SELECT label, (row_number() OVER (ORDER BY label))::INT AS label_ord, short, [label] || list_filter(triggers, lambda x: x <> '' AND x <> label) AS t FROM lab0),\n"
     "lab2 AS (SELECT label, label_ord, short, t, unnest(range(1, len(t) + 1)) AS p FROM lab1),\n"
-    f"lab AS (SELECT label, label_ord, t[p] AS trigger, (row_number() OVER (PARTITION BY label ORDER BY p) - 1)::INT AS trigger_ord, list_contains(short, t[p]) AS is_short_allowed, {_masked('t[p]')} AS core FROM lab2 WHERE list_position(t, t[p]) = p),\n"
-    "trg AS (SELECT lab.*, coalesce(a.df, 0) AS trigger_df, coalesce(b.df, 0) AS core_df FROM lab LEFT JOIN df a ON a.term = trigger LEFT JOIN df b ON b.term = core)"
+    f"lab AS (SELECT label, label_ord, t[p] AS trigger, (row_number() OVER (PARTITION BY label ORDER BY p) - 1)::INT AS trigger_ord, list_contains(short, t[p]) AS is_short_allowed, {_masked('t[p]')} AS core FROM lab2 WHERE list_position(t, t[p]) = p)"
 )
+TRG = "trg AS (SELECT lab.*, coalesce(a.df, 0) AS trigger_df, coalesce(b.df, 0) AS core_df FROM lab LEFT JOIN df a ON a.term = trigger LEFT JOIN df b ON b.term = core)"
+LABELS = LAB + ",\n" + TRG
+_frames = "['近来' || trigger || '，该当如何？', '并不' || trigger, substr(trigger, 1, 1) || '一' || substr(trigger, 2) || '！', substr(trigger, 1, 2) || '三五七' || substr(trigger, 3), '已经' || substr(trigger, 1, 1) || '已经' || substr(trigger, 2) || '但是', '没有，' || trigger || '。再说']"
+PHRASES = f"ask AS (SELECT label_ord * 10000 + trigger_ord * 10 + f - 1 AS case_no, q[f] AS query FROM (SELECT label_ord, trigger_ord, {_frames} AS q, unnest(range(1, 7)) AS f FROM lab))"
 
 
 def _hit(m: str, hay: str) -> str:
-    neg = f"contains('{text.NEGATIONS}', substr({hay}, i - 1, 1))"
-    return f"len(list_filter(range(1, length({hay}) + 1), lambda i: substr({hay}, i, length({m})) = {m} AND NOT (i > 1 AND {neg}) AND NOT (i + length({m}) <= length({hay}) AND contains('{text.NEGATIONS}', substr({hay}, i + length({m}), 1))))) > 0"
+    neg = f"contains('{NEGATIONS}', substr({hay}, i - 1, 1))"
+    return f"len(list_filter(range(1, length({hay}) + 1), lambda i: substr({hay}, i, length({m})) = {m} AND NOT (i > 1 AND {neg}) AND NOT (i + length({m}) <= length({hay}) AND contains('{NEGATIONS}', substr({hay}, i + length({m}), 1))))) > 0"
 
 
 _gap = "length(regexp_extract(masked, array_to_string(string_split(core, ''), '.*?'))) BETWEEN length(core) AND length(core) + 2"
@@ -68,7 +77,7 @@ BRIDGE = (
     "expd AS (SELECT case_no, label, label_ord, list(trigger ORDER BY trigger_ord) AS said FROM mat WHERE label IN (SELECT term FROM df) GROUP BY ALL),\n"
     "con AS (SELECT case_no, list(label ORDER BY label_ord)[1:6] AS concerns FROM expd GROUP BY case_no)"
 )
-_stops = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+_stops = "[" + ", ".join(f"'{w}'" for w in STOPS) + "]"
 TOKENS = (
     "qb AS (SELECT case_no, p AS block_ord, b[p] AS block FROM (SELECT case_no, b, unnest(range(1, len(b) + 1)) AS p FROM (SELECT case_no, list_filter(string_split(norm, ' '), lambda x: length(x) >= 2) AS b FROM norm))),\n"
     "vit(block, i, best, back) AS (SELECT DISTINCT block, 0, [0.0::DOUBLE], []::INT[] FROM qb UNION ALL\n"
@@ -114,11 +123,11 @@ def _with(*parts: str, last: str) -> str:
 
 
 def _search(last: str, asked: str = CASES) -> str:
-    return _with(DOC, asked, NORM, GRAMS, LABELS, BRIDGE, TOKENS, SCORES, last=last)
+    return _with(DOC, LAB, asked, NORM, GRAMS, TRG, BRIDGE, TOKENS, SCORES, last=last)
 
 
 def _bridge(last: str, asked: str = CASES) -> str:
-    return _with(DOC, asked, NORM, GRAMS, LABELS, BRIDGE, last=last)
+    return _with(DOC, LAB, asked, NORM, GRAMS, TRG, BRIDGE, last=last)
 
 
 THEMED = "thm AS (SELECT DISTINCT doc_no, unnest(themes) AS label FROM doc)"
@@ -158,6 +167,14 @@ _dirty_doc = ", ".join(f"{e} AS {k}" for k, e in _dirty("t").items())
 _dirty_book = ", ".join(f"count(*) FILTER ({e}) AS {k}" for k, e in _dirty("original", "").items())
 
 
+STRIP = (
+    "SELECT case_no, (row_number() OVER (PARTITION BY case_no ORDER BY c NULLS LAST, slot, p, s) - 1)::INT AS place, label, array_to_string(coalesce(said, []::VARCHAR[]), '|') AS said FROM ("
+    "SELECT coalesce(a.case_no, b.case_no) AS case_no, coalesce(a.label, b.label) AS label, c, slot, p, s, said FROM (SELECT case_no, unnest(concerns) AS label, unnest(range(1, len(concerns) + 1)) AS c FROM con) a FULL JOIN ("
+    "SELECT case_no, label, (list(said ORDER BY slot, p, s))[1:3] AS said, min((slot, p, s)) AS m, min(slot * 1000000 + p * 1000 + s) AS at, arg_min(slot, slot * 1000000 + p * 1000 + s) AS slot, arg_min(p, slot * 1000000 + p * 1000 + s) AS p, arg_min(s, slot * 1000000 + p * 1000 + s) AS s FROM ("
+    "SELECT case_no, label, said, min(slot) AS slot, arg_min(p, slot * 1000000 + p * 1000 + s) AS p, arg_min(s, slot * 1000000 + p * 1000 + s) AS s FROM (SELECT * FROM (SELECT w.*, t.slot, row_number() OVER (PARTITION BY w.case_no, w.doc_no ORDER BY w.p, w.s) AS r FROM why1 w JOIN tier t USING (case_no, doc_no) WHERE w.said <> w.label) WHERE r <= 4) GROUP BY ALL) GROUP BY ALL) b ON a.case_no = b.case_no AND a.label = b.label)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     top = "ORDER BY score DESC, n_terms DESC, doc_no"
     return {
@@ -190,13 +207,13 @@ def oracle_sql() -> dict[str, str]:
         "texts_concerns": _bridge("SELECT case_no, array_to_string(concerns, '|') AS concerns FROM con", TEXTS),
         "texts_tiers": _search("SELECT case_no, slot, verdict, doc_no, round(score, 6) AS score, coverage, graded FROM tier", TEXTS),
         "texts_why": _search("SELECT case_no, doc_no, why FROM why", TEXTS),
-        "texts_strip": _search(
-            "SELECT case_no, (row_number() OVER (PARTITION BY case_no ORDER BY c NULLS LAST, slot, p, s) - 1)::INT AS place, label, array_to_string(coalesce(said, []::VARCHAR[]), '|') AS said FROM ("
-            "SELECT coalesce(a.case_no, b.case_no) AS case_no, coalesce(a.label, b.label) AS label, c, slot, p, s, said FROM (SELECT case_no, unnest(concerns) AS label, unnest(range(1, len(concerns) + 1)) AS c FROM con) a FULL JOIN ("
-            "SELECT case_no, label, (list(said ORDER BY slot, p, s))[1:3] AS said, min((slot, p, s)) AS m, min(slot * 1000000 + p * 1000 + s) AS at, arg_min(slot, slot * 1000000 + p * 1000 + s) AS slot, arg_min(p, slot * 1000000 + p * 1000 + s) AS p, arg_min(s, slot * 1000000 + p * 1000 + s) AS s FROM ("
-            "SELECT case_no, label, said, min(slot) AS slot, arg_min(p, slot * 1000000 + p * 1000 + s) AS p, arg_min(s, slot * 1000000 + p * 1000 + s) AS s FROM (SELECT * FROM (SELECT w.*, t.slot, row_number() OVER (PARTITION BY w.case_no, w.doc_no ORDER BY w.p, w.s) AS r FROM why1 w JOIN tier t USING (case_no, doc_no) WHERE w.said <> w.label) WHERE r <= 4) GROUP BY ALL) GROUP BY ALL) b ON a.case_no = b.case_no AND a.label = b.label)",
-            TEXTS,
-        ),
+        "texts_strip": _search(STRIP, TEXTS),
+        "phrases_bridge": _bridge("SELECT case_no, label, trigger FROM mat", PHRASES),
+        "phrases_expanded": _bridge("SELECT case_no, label, array_to_string(said, '|') AS said FROM expd", PHRASES),
+        "phrases_concerns": _bridge("SELECT case_no, array_to_string(concerns, '|') AS concerns FROM con", PHRASES),
+        "phrases_tiers": _search("SELECT case_no, slot, verdict, doc_no, round(score, 6) AS score, coverage, graded FROM tier", PHRASES),
+        "phrases_why": _search("SELECT case_no, doc_no, why FROM why", PHRASES),
+        "phrases_strip": _search(STRIP, PHRASES),
         "theme_highlights": _search("SELECT case_no, doc_no, array_to_string(list_filter(themes, lambda x, i: list_position(themes, x) = i AND length(x) >= 2 AND contains(query, x)), '|') AS highlighted FROM tier JOIN doc USING (doc_no) JOIN ask USING (case_no)"),
         "recall_by_confidence": _search("SELECT confidence, count(*) AS cases, count(*) FILTER (coalesce(len(list_filter(want, lambda w: len(list_filter(t, lambda x: contains(x, w))) > 0)) > 0, false)) AS passed FROM ask LEFT JOIN (SELECT case_no, list(title) AS t FROM tier JOIN doc USING (doc_no) GROUP BY case_no) USING (case_no) GROUP BY confidence"),
         "library_totals": "SELECT count(*) AS books, sum(bytes)::BIGINT AS installed_bytes, count(*) FILTER (lower(slug) IN ('jiuji', 'yanlu', 'zhezhi')) AS selected, coalesce(sum(bytes) FILTER (lower(slug) IN ('jiuji', 'yanlu', 'zhezhi')), 0)::BIGINT AS selected_bytes FROM shard_catalog WHERE slug <> '' AND book <> ''",
