@@ -39,7 +39,8 @@ def scored(terms: DataFrame, post: DataFrame, stats: DataFrame, n_docs: Column)
     not depend on the order in which a shuffle adds. Only sums move; which terms matched is looked up
     afterwards, for the few passages shown (``with_terms``).
     """
-    rows = weighted(terms, stats, n_docs).select("case_no", "term", "w").join(post, "term")
+    # queries are few beside postings: while they are, no posting is shuffled and no frequent term is one task's work
+    rows = post.join(small(weighted(terms, stats, n_docs).select("case_no", "term", "w")), "term")
     hits = rows.groupBy("case_no", "doc_no").agg(F.sum("w").alias("total"), F.max("w").alias("top"), F.count("*").cast("int").alias("n_terms"))
     return hits.select("case_no", "doc_no", F.round(F.col("top") + (F.col("total") - F.col("top")) * EXTRA_WEIGHT, 9).alias("score"), "n_terms")
 
@@ -69,11 +70,16 @@ def situated(hits: DataFrame, concerns: DataFrame, docs: DataFrame, top: int | N
 
     With two or more concerns a passage qualifies with two, else with one. Qualifying passages come first,
     those that cover more before the others. Queries without concerns keep the order of the score.
+
+    Coverage is counted where a concern is a theme, and meets the hits on the key they are grouped by, so
+    no hit is shuffled for it and queries without concerns cost nothing.
     """
-    themes = docs.select("doc_no", "themes")
-    rows = hits.join(concerns, "case_no", "left").join(themes, "doc_no")
+    asked = concerns.select("case_no", F.explode(F.array_distinct("concerns")).alias("label"))
+    themed = docs.select("doc_no", F.explode(F.array_distinct("themes")).alias("label")).join(small(asked.select("label").distinct()), "label", "left_semi")
+    covered = asked.join(themed, "label").groupBy("case_no", "doc_no").agg(F.count("*").cast("int").alias("coverage"))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("concerns", F.coalesce("concerns", none)).withColumn("coverage", F.size(F.array_intersect("themes", "concerns"))).drop("themes")
+    rows = hits.join(covered, ["case_no", "doc_no"], "left").join(small(concerns), "case_no", "left")
+    rows = rows.withColumn("concerns", F.coalesce("concerns", none)).withColumn("coverage", F.coalesce("coverage", F.lit(0)))
     least = F.when(F.size("concerns") >= MIN_COVERAGE, MIN_COVERAGE).otherwise(1)
     qualifies = F.col("coverage") >= least
     w = Window.partitionBy("case_no").orderBy(qualifies.desc(), F.when(qualifies, F.col("coverage")).otherwise(0).desc(), F.col("score").desc(), F.col("n_terms").desc(), "doc_no")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +48,7 @@ class Pipeline:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return tables.labels(self.spark, self.sf_dir)
+        return self.kept(tables.labels(self.spark, self.sf_dir))
 
     @cached_property
     def count(self) -> int:
@@ -61,7 +60,7 @@ class Pipeline:
 
     @cached_property
     def norm(self) -> DataFrame:
-        return bridge.normalized(self.cases)
+        return self.kept(bridge.normalized(self.cases))
 
     @cached_property
     def wanted(self) -> DataFrame:
@@ -72,19 +71,19 @@ class Pipeline:
     @cached_property
     def postings(self) -> DataFrame:
         fields = [*tables.INDEXED, *tables.INDEXED_ARRAYS]
-        return index.wanted_postings(self.docs.select("doc_no", *fields), self.wanted).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept(index.wanted_postings(self.docs.select("doc_no", *fields), self.wanted))
 
     @cached_property
     def stats(self) -> DataFrame:
-        return index.frequencies(self.postings).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept(index.frequencies(self.postings))
 
     @cached_property
     def triggers(self) -> DataFrame:
-        return bridge.trigger_stats(self.labels, self.stats).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept(bridge.trigger_stats(self.labels, self.stats))
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return bridge.tokens(self.norm, self.stats, self.n_docs).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept(bridge.tokens(self.norm, self.stats, self.n_docs))
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -92,7 +91,7 @@ class Pipeline:
 
     @cached_property
     def expanded(self) -> DataFrame:
-        return bridge.expanded(self.matches, self.stats).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept(bridge.expanded(self.matches, self.stats))
 
     @cached_property
     def concerns(self) -> DataFrame:
@@ -115,19 +114,21 @@ class Pipeline:
     @cached_property
     def pool(self) -> DataFrame:
         """The first passages of each query after re-ranking; at most as many as the tiers look at."""
-        return self.situated(rank.POOL).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept(self.situated(rank.POOL))
 
     @cached_property
-    def tiers(self) -> DataFrame:
-        tiers = rank.tiered(self.pool, tables.documents(self.spark, self.sf_dir, "verdict"))
-        return self.with_terms(tiers).persist(StorageLevel.MEMORY_AND_DISK)
+    def placed(self) -> DataFrame:
+        return self.kept(rank.tiered(self.pool, tables.documents(self.spark, self.sf_dir, "verdict")))
 
+    @cached_property
+    def tiers(self) -> DataFrame:
+        # a few rows a query, kept before their terms are looked up, which reads them twice
+        return self.kept(self.with_terms(self.placed))
 
-    def release(self) -> None:
-        """Gives back what is kept of the parts built."""
-        for part in list(vars(self).values()):
-            if isinstance(part, DataFrame) and part.is_cached:
-                part.unpersist()
+    def kept(self, df: DataFrame) -> DataFrame:
+        """A part written to the checkpoint folder, so that what is built on it neither plans nor computes it again and an executor's loss costs nothing."""
+        tables.shared_dir(self.spark)
+        return df.checkpoint()
 
 
 class Curated(Pipeline):
@@ -147,9 +148,8 @@ class Curated(Pipeline):
 
 
 def release() -> None:
-    """Gives back all pipelines kept, so that the next query builds its own."""
-    while _held:
-        _held.popitem()[1].release()
+    """Forgets all pipelines, so that the next query builds its own parts."""
+    _held.clear()
 
 
 _held: dict[tuple[str, str, str], Pipeline] = {}
@@ -160,6 +160,6 @@ def pipeline(spark: SparkSession, sf_dir: str, asked: str = "cases") -> Pipeline
     key = (spark.sparkContext.applicationId, sf_dir, asked)
     if key not in _held:
         for other in [k for k in _held if k[:2] != key[:2]]:
-            _held.pop(other).release()
+            del _held[other]
         _held[key] = Pipeline(spark, sf_dir, asked)
     return _held[key]
