@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> None:
     """Makes sure of a checkpoint folder: the one the session names, else one of this machine, but only where Spark runs on it alone."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "inkspan-checkpoints"))
 
