@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -270,6 +271,18 @@ def test_near_duplicates(monkeypatch, spark, part_keys):
     assert rep[901] == 900 and rep[903] == 902
 
 
+def test_near_duplicates_keep_texts_compressed(spark):
+    rng = random.Random(5)
+    texts = {i: "".join(rng.choices("天地玄黄宇宙洪荒日月盈昃辰宿列张", k=2000)) for i in range(40)}
+    at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    held = lambda: sum(p.stat().st_size for p in Path(at.removeprefix("file:")).rglob("part-*"))
+    docs = spark.createDataFrame(list(texts.items()), "doc_no long, text string")
+    before = held()
+    pairs, _ = p06_neardup.near_duplicates(docs)
+    assert pairs.count() == 0
+    assert held() - before < sum(len(t.encode()) for t in texts.values()) / 2
+
+
 def test_hot_keys_are_split_without_loss(monkeypatch):
     monkeypatch.setattr(p06_neardup, "BLOCK", 4)
     rng = random.Random(7)
