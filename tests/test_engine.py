@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text
-from inkspan.operators import index, labels, merge, rank, shaping
+from inkspan.operators import best, index, labels, merge, rank, shaping
 from inkspan.operators import stats as reports
 from inkspan.plans import catalog
 from inkspan.plans.pipeline import Pipeline
@@ -102,6 +102,32 @@ def test_without_verdicts_the_ranking_is_the_situated_one(pipe):
     assert tiers == {(r.case_no, r.rank, r.doc_no) for r in pipe.pool.where("rank <= 3").collect()}
 
 
+@pytest.mark.parametrize("block_docs", [500, 40])
+def test_first_lists_lose_no_passage(monkeypatch, spark, block_docs):
+    """Lists cut at 200 or 5 against all hits ranked, in one block and in several, with many equal scores."""
+    monkeypatch.setattr(best, "BLOCK_DOCS", block_docs)
+    rng = random.Random(3)
+    names = [chr(0x4E00 + i) * (2 + i % 2) for i in range(14)]
+    post = [(t, d) for i, t in enumerate(names) for d in range(300) if rng.random() < (i + 1) / 18]
+    terms = [(c, k, t, k > 3) for c in range(40) for k, t in enumerate(rng.sample(names, rng.randrange(1, 7)))]
+    docs = [(d, rng.choice(["上", "中", "下", "", ""]), rng.sample(["甲", "乙", "丙"], rng.randrange(3))) for d in range(300)]
+    post = spark.createDataFrame(post, "term string, doc_no long")
+    terms = spark.createDataFrame(terms, "case_no long, term_ord int, term string, is_label boolean")
+    docs = spark.createDataFrame(docs, "doc_no long, verdict string, themes array<string>")
+    concerns = spark.createDataFrame([(c, ["甲", "乙", "丙"][: c % 3 + 1]) for c in range(0, 40, 2)], "case_no long, concerns array<string>")
+    stats, n = index.frequencies(post), F.lit(300.0)
+    hits = rank.scored(terms, post, stats, n)
+    for top in (200, 5):
+        for asked in (concerns, None):
+            lists = best.lists(rank.weighted(terms, stats, n).select("case_no", "term", "w"), post, docs, asked, 300, top)
+            columns = ["case_no", "doc_no", "score", "n_terms", "rank"] + ["coverage"] * (asked is not None)
+            plain = rank.situated(hits, concerns, docs, top) if asked is not None else rank.ranked(hits, top)
+            assert sorted(best.unfolded(lists).select(*columns).collect()) == sorted(plain.select(*columns).collect())
+    lists = best.lists(rank.weighted(terms, stats, n).select("case_no", "term", "w"), post, docs, concerns, 300)
+    columns = ["case_no", "slot", "doc_no", "score", "rank", "verdict", "graded"]
+    assert sorted(best.tiered(lists).select(*columns).collect()) == sorted(rank.tiered(rank.situated(hits, concerns, docs, 200), docs).select(*columns).collect())
+
+
 def test_scores(spark):
     terms = spark.createDataFrame([(1, 0, "甲乙", False), (1, 1, "丙丁戊", False), (1, 1000, "己庚", True)], "case_no long, term_ord int, term string, is_label boolean")
     post = spark.createDataFrame([("甲乙", 5), ("丙丁戊", 5), ("己庚", 6), ("甲乙", 7)], "term string, doc_no long")
