@@ -253,6 +253,23 @@ def test_the_simplified_engine_reads_all_fields_and_grades(spark, tmp_path, verd
         assert got.get(i, []) == [(x, graded) for x in want]
 
 
+def test_the_simplified_engine_makes_no_row_for_each_pair(monkeypatch, spark):
+    """In blocks of a few passages, with equal scores; what it reads is packed lists, not sums of pairs."""
+    monkeypatch.setattr(best, "BLOCK_DOCS", 60)
+    rng = random.Random(4)
+    docs = [(n, "".join(rng.choices("甲乙丙", k=rng.randint(0, 5))), rng.choice(["上", "中", ""])) for n in range(240)]
+    asked = ["甲乙丙", "乙乙", "丙甲乙甲", "甲甲甲"]
+    full = tables.lenient(spark.createDataFrame([(n, t, v, *[""] * 9, *[[]] * 3) for n, t, v in docs], "doc_no long, book string, verdict string, " + ", ".join(f"{c} string" for c in rank.OFFLINE[1:]) + ", " + ", ".join(f"{c} array<string>" for c in rank.OFFLINE_ARRAYS)))
+    found = rank.offline(spark.createDataFrame(list(enumerate(asked)), "case_no long, query string"), full)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("case_no", "rank").collect():
+        got.setdefault(r.case_no, []).append(((r.doc_no, r.score_tenths), r.graded))
+    for i, q in enumerate(asked):
+        want, graded = brute_offline(docs, q)
+        assert got[i] == [(x, graded) for x in want]
+
+
 def test_phrases_are_mined_from_whole_texts_in_words(spark, tmp_path):
     rng = random.Random(5)
     words = ["粮尽", "援绝", "守城", "夜袭", "筑堤", "开仓", "求和", "辞官人", "大旱"]
