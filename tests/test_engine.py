@@ -75,6 +75,28 @@ def pipe(spark, tmp_path_factory):
     return Pipeline(spark, corpus(spark, tmp_path_factory.mktemp("corpus")))
 
 
+@pytest.mark.parametrize("slice_chars", [7, 1 << 20])
+def test_terms_are_found_as_numbers_as_the_grams_are(monkeypatch, spark, tmp_path, slice_chars):
+    monkeypatch.setattr(index, "SLICE_CHARS", slice_chars)
+    docs = tables.documents(spark, fixtures.write(spark, tmp_path, fixtures.messy()))
+    odd = spark.createDataFrame([(99, "ab\n甲乙Ａ甲乙𠀀丙丁龘鿿㐀䶿9Z", ["甲", "乙丙", None], "")], "doc_no long, title string, themes array<string>, cause string")
+    for d in (docs, odd):
+        post = index.postings(d)
+        for terms in (post.select("term").distinct(), spark.createDataFrame([("守城",), ("甲乙丙丁戊",), ("ab\n",), ("，，",), ("9Z",), ("守城",), (None,)], "term string"), post.select("term").limit(0)):
+            want = sorted(index.wanted_postings(d, terms).select("term", "doc_no").collect())
+            assert sorted(index.unfolded(index.folded(d, terms)).collect()) == want
+            assert sorted(index.counted(d, terms).collect()) == sorted(index.frequencies(index.wanted_postings(d, terms)).collect())
+            with monkeypatch.context() as m:
+                m.setattr(index, "SENT_TERMS", 1)
+                assert sorted(index.unfolded(index.folded(d, terms)).collect()) == want
+
+
+def test_only_the_terms_left_have_postings(pipe):
+    """Grams of a query that no word of it is cut as are counted, but their postings are not kept."""
+    assert "城粟" in {r.term for r in pipe.stats.collect()}
+    assert {r.term for r in pipe.postings.collect()} <= {r.term for r in pipe.terms.collect()}
+
+
 def test_segmentation(pipe):
     tokens = {r.case_no: r.tokens for r in pipe.tokens.collect()}
     assert tokens[0] == ["守城粟尽"] and tokens[2] == [] and "骨干" in tokens[1]
