@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions import text
 from inkspan.operators import index
 from inkspan.operators.bridge import HIGH_DF, SINGLE_COST
-from inkspan.sources.tables import small
+from inkspan.sources.tables import freed, shared_dir, small
 
 # Fixed values of the audit.
 LEAST_P, MIN_DF, PHRASE_DF, PER_LABEL = 0.60, 2, 3, 20
@@ -20,6 +22,8 @@ MINED = ("title", "translation", "significance", "cause", "process", "decision",
 
 HAN = re.compile("[一-鿿㐀-䶿]+")
 STOPS = frozenset(text.STOP_WORDS)
+#: Numbers up to this are Han characters; documents of a part.
+HAN_LETTERS, PART_DOCS = int(index.NUMBER[[ord("鿿"), ord("䶿")]].max()), 10_000
 
 
 def themed(docs: DataFrame) -> DataFrame:
@@ -91,8 +95,11 @@ def effectiveness(labels: DataFrame, directed: DataFrame) -> DataFrame:
 
 def mining_text(docs: DataFrame) -> DataFrame:
     """(doc_no, body): the text fields and lists run together, in normal form, without stop words."""
-    body = F.concat_ws(" ", *MINED, F.array_join("themes", " "), F.array_join("pros", " "), F.array_join("cons", " "))
-    return docs.select("doc_no", text.mask(text.normalize(body)).alias("body"))
+    return docs.select("doc_no", mining_body().alias("body"))
+
+
+def mining_body() -> Column:
+    return text.mask(text.normalize(F.concat_ws(" ", *MINED, F.array_join("themes", " "), F.array_join("pros", " "), F.array_join("cons", " "))))
 
 
 def segmented(body: str, known: dict[str, float], single: float) -> list[str]:
@@ -136,25 +143,191 @@ def joined(words: list[str], longest: int) -> list[str]:
     return list(out)
 
 
-def phrases(docs: DataFrame, longest: int = 6) -> DataFrame:
-    """(phrase, doc_no): one to three neighbouring words of each document, of two to six characters together, each once.
-
-    The whole body is cut by the vocabulary of the index. The vocabulary is sent to all tasks; it grows as the
-    distinct grams of the texts do.
+def cut(c: np.ndarray, starts: np.ndarray, keys: np.ndarray, cost: np.ndarray, single: float) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the words of bodies, as ``segmented`` cuts them, stop words left out; all blocks are cut at once, character by character."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], c > 0, [0]])))
+    first, length = edge[::2], edge[1::2] - edge[::2]
+    o = np.argsort(-length, kind="stable")
+    first, length = first[o][length[o] >= 2], length[o][length[o] >= 2]
+    at_k = {}
+    for k in text.GRAM_LENGTHS:
+        at_k[k] = np.full(len(c) + 1, np.inf)
+        at, key = index.gram_keys(c, k)
+        distinct, which = np.unique(key, return_inverse=True)
+        i = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+        at_k[k][at] = np.where(keys[i] == distinct, cost[i], np.inf)[which] if len(keys) else np.inf
+    best, back = np.zeros(len(c) + 1), np.zeros(len(c) + 1, np.int64)
+    for i in range(1, int(length.max(initial=0)) + 1):
+        e = first[: np.searchsorted(-length, -i, "right")] + i
+        least, size = best[e - 1] + single, np.ones(len(e), np.int64)
+        for k in [k for k in text.GRAM_LENGTHS if k <= i]:
+            x = best[e - k] + at_k[k][e - k]
+            better = x < least
+            least, size = np.where(better, x, least), np.where(better, k, size)
+        best[e], back[e] = least, size
+    places, sizes, e = [], [], first + length
+    while len(e):
+        k = back[e]
+        e = e - k
+        places.append(e[k >= 2])
+        sizes.append(k[k >= 2])
+        going = e > first
+        e, first = e[going], first[going]
+    place, size = np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int64), *sizes])
+    o = np.argsort(place)
+    place, size = place[o], size[o]
+    key = np.zeros(len(place), np.int64)
+    for i in range(text.GRAM_LENGTHS[-1]):
+        x = c[np.minimum(place + i, len(c) - 1)] if len(place) else key
+        key = np.where(i < size, key << index.BITS | x, key)
+    kept = ~np.isin(key, index.keys_of(sorted(STOPS)))
+    return place[kept], size[kept]
+
+
+def said(c: np.ndarray, starts: np.ndarray, place: np.ndarray, size: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``joined`` words and their characters, as many columns as the longest has; each phrase of a row once."""
+    row = np.searchsorted(starts, place, "right") - 1
+    plain = np.append(0, np.cumsum((c == 0) | (c > HAN_LETTERS)))
+    han = plain[place + size] == plain[place]
+    rows, letters = [np.zeros(0, np.int64)], [np.zeros((0, longest), np.int64)]
+    for count in (1, 2, 3):
+        m = len(place) - count + 1
+        if m <= 0:
+            break
+        ok = np.ones(m, bool)
+        total = np.zeros(m, np.int64)
+        for i in range(count):
+            ok &= han[i : m + i] & (row[i : m + i] == row[:m])
+            total += size[i : m + i]
+        j = np.flatnonzero(ok & (total <= longest))
+        out, filled = np.zeros((len(j), longest), np.int64), np.zeros(len(j), np.int64)
+        for i in range(count):
+            for x in range(text.GRAM_LENGTHS[-1]):
+                here = np.flatnonzero(size[j + i] > x)
+                out[here, filled[here] + x] = c[place[j[here] + i] + x]
+            filled += size[j + i]
+        rows.append(row[j])
+        letters.append(out)
+    row, out = np.concatenate(rows), np.concatenate(letters)
+    return distinct_rows(row, out)
+
+
+def distinct_rows(row: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of a row and a phrase once, by phrase."""
+    o = np.lexsort((row, *[packed_letters(letters[:, i : i + 4]) for i in range(0, letters.shape[1], 4)]))
+    row, letters = row[o], letters[o]
+    new = np.append(True, (row[1:] != row[:-1]) | (letters[1:] != letters[:-1]).any(axis=1)) if len(row) else np.zeros(0, bool)
+    return row[new], letters[new]
+
+
+def packed_letters(x: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(x), np.int64)
+    for c in x.T:
+        key = key << index.BITS | c
+    return key
+
+
+def strings(letters: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(index.LETTERS[letters]).view(f"U{letters.shape[1]}").ravel().tolist(), pa.string())
+
+
+def worded(docs: DataFrame, made: Callable, schema: str, longest: int) -> DataFrame:
+    """``made`` of (doc_no, themes, row, letters) for each part of the documents: the phrases of its bodies as letters.
+
+    The vocabulary of the index is nowhere as a whole: each part of the documents sends the number of its documents
+    that hold each gram, the numbers are added up by gram, and each part gets those of the grams of its own bodies.
     """
-    stats = index.frequencies(index.postings(docs))
-    n = F.lit(float(docs.count() + 2))
-    spark = docs.sparkSession
-    single = spark.range(1).select((-F.log(F.lit(2.0) / n) + F.lit(SINGLE_COST)).alias("x")).first().x
-    known = spark.sparkContext.broadcast({r.term: r.cost for r in stats.select("term", (-F.log((F.col("df") + 1) / n)).alias("cost")).toLocalIterator()})
+    shared_dir(docs.sparkSession)
+    n_docs = docs.count()
+    n, parts = F.lit(float(n_docs + 2)), max(12, -(-n_docs // PART_DOCS))
+    # costs are Spark's, as ``bridge.tokens`` has them: another logarithm's last bit may cut ties otherwise
+    single = docs.sparkSession.range(1).select((-F.log(F.lit(2.0) / n) + F.lit(SINGLE_COST)).alias("x")).first().x
+    part = F.pmod(F.xxhash64("doc_no"), F.lit(parts)).cast("int")
+    whole = docs.select(part.alias("part"), "doc_no", index.body_of(docs).alias("body"), mining_body().alias("mined"), F.array_distinct("themes").alias("themes"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, at = [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("part")[0].as_py()
+            for _, starts, cp in index.stretches(batch.column("body")):
+                held.append(index.document_counts(index.numbers_of(cp), starts))
+            for _, _, cp in index.stretches(batch.column("mined")):
+                seen += [np.unique(index.gram_keys(index.numbers_of(cp), k)[1]) for k in text.GRAM_LENGTHS]
+            held, seen = [index.added(held)], [np.unique(np.concatenate(seen))]
+            rest = pickle.dumps((batch.column("doc_no").to_numpy(), batch.column("themes").to_pylist(), batch.column("mined").to_pylist()), 5)
+            data = len(rest).to_bytes(8, "little") + pa.Codec("zstd").compress(rest, asbytes=True)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "key": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "asked": pa.array([False]), "data": pa.array([data], pa.binary())})
+        if held:
+            keys = np.union1d(held[0][0], seen[0])
+            count = np.zeros(len(keys), np.int64)
+            count[np.searchsorted(keys, held[0][0])] = held[0][1]
+            asked = np.isin(keys, seen[0])
+            for i in range(0, len(keys), 100_000):
+                k = keys[i : i + 100_000]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(k), at, np.int32)), "key": pa.array(k), "n": pa.array(count[i : i + 100_000]), "asked": pa.array(asked[i : i + 100_000]), "data": pa.nulls(len(k), pa.binary())})
+
+    sent = whole.repartitionById(parts, "part").mapInArrow(send, "part int, key long, n long, asked boolean, data binary").checkpoint()
+    freed(docs.sparkSession)
+    grams = sent.where("key is not null")
+    df = grams.groupBy("key").agg(F.sum("n").alias("df")).where("df > 0")
+    known = grams.where("asked").select("part", "key").join(df, "key").select("part", "key", "df", F.lit(None).cast("binary").alias("data"))
+    texts = sent.where("key is null").select("part", "key", F.col("n").alias("df"), "data")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, costs, held = [], [], []
         for batch in batches:
-            for no, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = joined(segmented(body, known.value, single), longest)
-                yield pa.RecordBatch.from_arrays([pa.array([no] * len(found), pa.int64()), pa.array(found, pa.string())], names=["doc_no", "phrase"])
+            has = batch.column("key").is_valid()
+            keys.append(batch.column("key").filter(has).to_numpy())
+            costs.append(batch.column("cost").filter(has).to_numpy())
+            held += batch.column("data").drop_null().to_pylist()
+        key, cost = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0), *costs])
+        o = np.argsort(key)
+        key, cost = key[o], cost[o]
+        for x in held:
+            no, themes, texts = pickle.loads(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True))
+            for first, starts, cp in index.stretches(pa.array([t + "\n" for t in texts], pa.string())):
+                c = index.numbers_of(cp)
+                place, size = cut(c, starts, key, cost, single)
+                row, letters = said(c, starts, place, size, longest)
+                bare = np.setdiff1d(np.arange(len(starts)), np.searchsorted(starts, place, "right") - 1).tolist()
+                more = [(r, p) for r in bare for p in joined([texts[first + r][i : i + 2] for i in range(len(texts[first + r]) - 1)], longest)]
+                if more:
+                    wide = np.array([p for _, p in more], f"U{longest}").view(np.uint32).reshape(-1, longest)
+                    row, letters = distinct_rows(np.append(row, [r for r, _ in more]), np.concatenate([letters, index.numbers_of(wide)]))
+                yield from made(no[first : first + len(starts)], themes[first : first + len(starts)], row, letters)
+
+    placed = known.unionByName(texts).repartitionById(parts, "part")
+    return placed.select("key", (-F.log((F.col("df") + 1) / n)).alias("cost"), "data").mapInArrow(mine, schema)
+
+
+def phrases(docs: DataFrame, longest: int = 6) -> DataFrame:
+    """(phrase, doc_no): one to three neighbouring words of each document, of two to six characters together, each once; the whole body is cut by the vocabulary of the index."""
+
+    def rows(no: np.ndarray, _: list, row: np.ndarray, letters: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(no[row], pa.int64()), strings(letters)], names=["doc_no", "phrase"])
+
+    return worded(docs, rows, "doc_no long, phrase string", longest)
+
+
+def phrase_counts(docs: DataFrame, closed: list[str], longest: int = 6) -> DataFrame:
+    """(phrase, label, n): the documents with a phrase (label null), and those of them with each of the labels as a theme."""
+    number = {label: i for i, label in enumerate(closed, 1)}
+
+    def counts(_: np.ndarray, themes: list, row: np.ndarray, letters: np.ndarray) -> Iterator[pa.RecordBatch]:
+        marks = [[0, *[number[t] for t in x or [] if t in number]] for x in themes]
+        size = np.array([len(m) for m in marks], np.int64)
+        flat, start = np.array([i for m in marks for i in m], np.int64), np.cumsum(size) - size
+        new = np.append(True, (letters[1:] != letters[:-1]).any(axis=1)) if len(row) else np.zeros(0, bool)
+        which, distinct = np.cumsum(new) - 1, letters[new]
+        reps = size[row]
+        place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(start[row], reps)
+        pair, n = np.unique(np.repeat(which, reps) * (len(closed) + 1) + flat[place], return_counts=True)
+        label = pa.array([None, *closed], pa.string()).take(pa.array(pair % (len(closed) + 1)))
+        yield pa.RecordBatch.from_arrays([strings(distinct).take(pa.array(pair // (len(closed) + 1))), label, pa.array(n, pa.int64())], names=["phrase", "label", "n"])
 
-    return mining_text(docs).mapInArrow(mine, "doc_no long, phrase string")
+    return worded(docs, counts, "phrase string, label string, n long", longest).groupBy("phrase", "label").agg(F.sum("n").alias("n"))
 
 
 def mined(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,10 +335,11 @@ def mined(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A phrase goes to the label with the largest share, then the most documents, then the first.
     """
-    found = phrases(docs)
-    often = found.groupBy("phrase").agg(F.count("*").alias("df")).where(F.col("df") >= PHRASE_DF)
     closed = labels.where("trigger_ord = 0").select("label", "label_ord")
-    with_label = found.join(often, "phrase").join(themed(docs), "doc_no").join(F.broadcast(closed), "label").groupBy("phrase", "df", "label", "label_ord").agg(F.count("*").alias("df_label"))
+    # a phrase has a count for each label at most, and labels are a closed set
+    counts = phrase_counts(docs, sorted(r.label for r in closed.select("label").distinct().collect()))
+    each = counts.groupBy("phrase").agg(F.max(F.when(F.col("label").isNull(), F.col("n"))).alias("df"), F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", F.col("n").alias("df_label")))).alias("l"))
+    with_label = each.where(F.col("df") >= PHRASE_DF).select("phrase", "df", F.inline("l")).join(F.broadcast(closed), "label")
     p = F.round(F.col("df_label") / F.col("df"), 9)
     w = Window.partitionBy("phrase").orderBy(F.col("p").desc(), F.col("df_label").desc(), "label_ord")
     best = with_label.withColumn("p", p).where(F.col("p") >= LEAST_P).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")

@@ -337,6 +337,23 @@ def test_phrases_are_mined_from_whole_texts_in_words(spark, tmp_path):
         assert r.tokens == list(dict.fromkeys(labels.segmented(r.norm, known, single)))[:24]
 
 
+def test_mining_holds_no_vocabulary_in_the_driver(monkeypatch, spark, tmp_path):
+    """Messy texts, in several parts and slices, against the words cut one text after the other; nothing of the vocabulary is fetched."""
+    monkeypatch.setattr(labels, "PART_DOCS", 2)
+    monkeypatch.setattr(index, "SLICE_CHARS", 50)
+    docs = tables.documents(spark, fixtures.write(spark, tmp_path, fixtures.messy()))
+    n = docs.count() + 2
+    known = {r.term: -math.log((r.df + 1) / n) for r in index.frequencies(index.postings(docs)).collect()}
+    want = {(p, r.doc_no) for r in labels.mining_text(docs).collect() for p in labels.joined(labels.segmented(r.body, known, math.log(n / 2) + 4), 6)}
+
+    def fetched(self, *_, **__):
+        raise AssertionError("rows are fetched")
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", fetched)
+    got = [(r.phrase, r.doc_no) for r in labels.phrases(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_drift_compares_the_curated_book_with_all_records(spark, tmp_path):
     rows = [record(n, "守城之法" if n < 4 else "别事", book="芦原书") for n in range(8)] + [record(10 + n, "守城粟尽援绝" if n < 2 else "粟尽援绝", book="旧记") for n in range(6)] + [record(20, "粟尽", book="")]
     d = fixtures.write(spark, tmp_path, {"corpus_doc": rows, "cases": [row("cases", case_no=1, query="守城粟尽", asked_at=fixtures.T0), row("cases", case_no=2, query="守城", asked_at=fixtures.T0), row("cases", case_no=3, query="无此", asked_at=fixtures.T0)]})
