@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -256,37 +255,50 @@ def worded(docs: DataFrame, made: Callable, schema: str, longest: int) -> DataFr
             for _, _, cp in index.stretches(batch.column("mined")):
                 seen += [np.unique(index.gram_keys(index.numbers_of(cp), k)[1]) for k in text.GRAM_LENGTHS]
             held, seen = [index.added(held)], [np.unique(np.concatenate(seen))]
-            rest = pickle.dumps((batch.column("doc_no").to_numpy(), batch.column("themes").to_pylist(), batch.column("mined").to_pylist()), 5)
-            data = len(rest).to_bytes(8, "little") + pa.Codec("zstd").compress(rest, asbytes=True)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "key": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "asked": pa.array([False]), "data": pa.array([data], pa.binary())})
+            yield row_of(at, -1, [], (batch.column("doc_no").to_numpy(), batch.column("themes").to_pylist(), batch.column("mined").to_pylist()))
         if held:
             keys = np.union1d(held[0][0], seen[0])
             count = np.zeros(len(keys), np.int64)
             count[np.searchsorted(keys, held[0][0])] = held[0][1]
             asked = np.isin(keys, seen[0])
-            for i in range(0, len(keys), 100_000):
-                k = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(k), at, np.int32)), "key": pa.array(k), "n": pa.array(count[i : i + 100_000]), "asked": pa.array(asked[i : i + 100_000]), "data": pa.nulls(len(k), pa.binary())})
+            slot = index.slot_of(keys, parts)
+            for i in range(parts):
+                k = slot == i
+                yield row_of(at, i, [], (np.diff(keys[k], prepend=0), least_bytes(count[k]), np.packbits(asked[k])))
 
-    sent = whole.repartitionById(parts, "part").mapInArrow(send, "part int, key long, n long, asked boolean, data binary").checkpoint()
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = []
+        for batch in batches:
+            for at, x in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
+                gaps, count, asked = index.opened(x)
+                keys = np.cumsum(gaps)
+                each.append((at, keys, count, np.unpackbits(asked, count=len(keys)).astype(bool)))
+        df = index.added([(k, n) for _, k, n, _ in each])
+        for at, keys, _, asked in each:
+            n = df[1][np.searchsorted(df[0], keys[asked])]
+            k, (values, which) = keys[asked][n > 0], np.unique(n[n > 0], return_inverse=True)
+            yield row_of(at, 0, values.tolist(), (np.diff(k, prepend=0), least_bytes(which)))
+
+    columns = "part int, slot int, dfs array<long>, data binary"
+    sent = whole.repartitionById(parts, "part").mapInArrow(send, columns).checkpoint()
     freed(docs.sparkSession)
-    grams = sent.where("key is not null")
-    df = grams.groupBy("key").agg(F.sum("n").alias("df")).where("df > 0")
-    known = grams.where("asked").select("part", "key").join(df, "key").select("part", "key", "df", F.lit(None).cast("binary").alias("data"))
-    texts = sent.where("key is null").select("part", "key", F.col("n").alias("df"), "data")
+    known = sent.where("slot >= 0").repartitionById(parts, "slot").mapInArrow(answer, columns)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, costs, held = [], [], []
+        keys, costs, held = [np.zeros(0, np.int64)], [np.zeros(0)], []
         for batch in batches:
-            has = batch.column("key").is_valid()
-            keys.append(batch.column("key").filter(has).to_numpy())
-            costs.append(batch.column("cost").filter(has).to_numpy())
-            held += batch.column("data").drop_null().to_pylist()
-        key, cost = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0), *costs])
+            for at, values, x in zip(batch.column("slot").to_pylist(), batch.column("costs"), batch.column("data").to_pylist()):
+                if at < 0:
+                    held.append(x)
+                    continue
+                gaps, which = index.opened(x)
+                keys.append(np.cumsum(gaps))
+                costs.append(values.values.to_numpy()[which])
+        key, cost = np.concatenate(keys), np.concatenate(costs)
         o = np.argsort(key)
         key, cost = key[o], cost[o]
         for x in held:
-            no, themes, texts = pickle.loads(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True))
+            no, themes, texts = index.opened(x)
             for first, starts, cp in index.stretches(pa.array([t + "\n" for t in texts], pa.string())):
                 c = index.numbers_of(cp)
                 place, size = cut(c, starts, key, cost, single)
@@ -298,8 +310,18 @@ def worded(docs: DataFrame, made: Callable, schema: str, longest: int) -> DataFr
                     row, letters = distinct_rows(np.append(row, [r for r, _ in more]), np.concatenate([letters, index.numbers_of(wide)]))
                 yield from made(no[first : first + len(starts)], themes[first : first + len(starts)], row, letters)
 
-    placed = known.unionByName(texts).repartitionById(parts, "part")
-    return placed.select("key", (-F.log((F.col("df") + 1) / n)).alias("cost"), "data").mapInArrow(mine, schema)
+    placed = known.unionByName(sent.where("slot < 0")).repartitionById(parts, "part")
+    return placed.select("slot", F.transform("dfs", lambda x: -F.log((x + 1) / n)).alias("costs"), "data").mapInArrow(mine, schema)
+
+
+def row_of(part: int, slot: int, dfs: list[int], data: object) -> pa.RecordBatch:
+    columns = {"part": pa.array([part], pa.int32()), "slot": pa.array([slot], pa.int32()), "dfs": pa.array([dfs], pa.list_(pa.int64())), "data": pa.array([index.packed(data)], pa.binary())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def least_bytes(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the smallest type that has room for them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def phrases(docs: DataFrame, longest: int = 6) -> DataFrame:
