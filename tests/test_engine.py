@@ -367,3 +367,52 @@ def test_drift_compares_the_curated_book_with_all_records(spark, tmp_path):
     assert sum(r.case_no == 1 for r in shown) == 3 and got[1, 10].from_shard and got[1, 10].loaded_rank == 1 and got[1, 10].curated_rank is None
     s = catalog.queries()["rank_drift_shares"](spark, d).first()
     assert (s.cases, s.hits, s.curated_docs, s.docs) == (2, 6, 8, 15) and s.shard_hits == sum(r.from_shard for r in shown) and s.lost_some >= 1
+
+
+@pytest.mark.parametrize("block_postings", [20, 1 << 20])
+def test_lists_of_a_folded_index_lose_no_passage_and_shuffle_none(monkeypatch, spark, block_postings):
+    """Blocks made of the pieces of the index, one and several, against all hits ranked, with and without concerns."""
+    monkeypatch.setattr(best, "BLOCK_POSTINGS", block_postings)
+    monkeypatch.setattr(index, "SLICE_CHARS", 100)
+    rng = random.Random(5)
+    words = [chr(0x4E00 + i) * 2 for i in range(12)]
+    docs = [(d, "，".join(rng.sample(words, rng.randrange(5))), rng.sample(["甲", "乙", "丙", "丁"], rng.randrange(3)), rng.choice(["上", "中", "下", "", ""])) for d in rng.sample(range(10**12), 300)]
+    docs = spark.createDataFrame(docs, "doc_no long, original string, themes array<string>, verdict string").repartition(3)
+    terms = [(c, k, t, k > 3) for c in range(40) for k, t in enumerate(rng.sample(words, rng.randrange(1, 7)))]
+    terms = spark.createDataFrame(terms, "case_no long, term_ord int, term string, is_label boolean")
+    concerns = spark.createDataFrame([(c, ["甲", "乙", "丙"][: c % 3 + 1]) for c in range(0, 40, 2)], "case_no long, concerns array<string>")
+    post = index.wanted_postings(docs, terms)
+    stats, n = index.frequencies(post), F.lit(300.0)
+    hits = rank.scored(terms, post, stats, n)
+    weighted = rank.weighted(terms, stats, n).select("case_no", "term", "w")
+    pieces = index.folded(docs, terms, ["甲", "乙", "丙"]).checkpoint()
+    assert sorted(index.unfolded(pieces).collect()) == sorted(post.select("term", "doc_no").collect())
+    assert sorted(index.unfolded(pieces, [words[0], "甲", "甲乙丙丁戊"]).collect()) == sorted(post.select("term", "doc_no").where(F.col("term") == words[0]).collect())
+    parts = -(-post.count() // block_postings)
+    assert best.blocks(pieces, parts).count() >= (2 if parts > 1 else 1)
+    monkeypatch.setattr(best, "cut", lambda df, parts, key, made, cut=best.cut: cut(df, parts, key, made) if made is best.grouped else pytest.fail("postings are shuffled"))
+    for top in (200, 5):
+        for asked in (concerns, None):
+            lists = best.lists(weighted, pieces, None, asked, 300, top, n_postings=post.count())
+            columns = ["case_no", "doc_no", "score", "n_terms", "rank"] + ["coverage"] * (asked is not None)
+            plain = rank.situated(hits, concerns, docs, top) if asked is not None else rank.ranked(hits, top)
+            assert sorted(best.unfolded(lists).select(*columns).collect()) == sorted(plain.select(*columns).collect())
+    lists = best.lists(weighted, pieces, None, concerns, 300, n_postings=post.count())
+    columns = ["case_no", "slot", "doc_no", "score", "rank", "verdict", "graded"]
+    assert sorted(best.tiered(lists).select(*columns).collect()) == sorted(rank.tiered(rank.situated(hits, concerns, docs, 200), docs).select(*columns).collect())
+
+
+@pytest.mark.parametrize("name", ["texts_tiers", "recall_by_confidence", "result_slots"])
+def test_passages_without_their_terms_look_up_no_terms(monkeypatch, spark, tmp_path, name):
+    monkeypatch.setattr(rank, "with_terms", lambda *_: pytest.fail("terms are looked up"))
+    catalog.queries()[name](spark, corpus(spark, tmp_path)).collect()
+
+
+def test_reasons_look_up_labels_only(monkeypatch, spark, tmp_path):
+    looked = []
+    monkeypatch.setattr(rank, "with_terms", lambda shown, terms, post, f=rank.with_terms: looked.append(post) or f(shown, terms, post))
+    d = corpus(spark, tmp_path)
+    p = Pipeline(spark, d)
+    reasons = {(r.case_no, r.doc_no): r.why for r in p.reasons.collect()}
+    assert {r.term for r in looked[0].select("term").distinct().collect()} <= set(p.names)
+    assert reasons and reasons == {(r.case_no, r.doc_no): r.why for r in rank.why(p.tiers, p.expanded).collect()}
