@@ -398,6 +398,7 @@ def test_lists_of_a_folded_index_lose_no_passage_and_shuffle_none(monkeypatch, s
             plain = rank.situated(hits, concerns, docs, top) if asked is not None else rank.ranked(hits, top)
             assert sorted(best.unfolded(lists).select(*columns).collect()) == sorted(plain.select(*columns).collect())
     lists = best.lists(weighted, pieces, None, concerns, 300, n_postings=post.count())
+    assert "MapInArrow" not in lists._jdf.queryExecution().toString()  # else all blocks come in one batch
     columns = ["case_no", "slot", "doc_no", "score", "rank", "verdict", "graded"]
     assert sorted(best.tiered(lists).select(*columns).collect()) == sorted(rank.tiered(rank.situated(hits, concerns, docs, 200), docs).select(*columns).collect())
 
@@ -416,3 +417,15 @@ def test_reasons_look_up_labels_only(monkeypatch, spark, tmp_path):
     reasons = {(r.case_no, r.doc_no): r.why for r in p.reasons.collect()}
     assert {r.term for r in looked[0].select("term").distinct().collect()} <= set(p.names)
     assert reasons and reasons == {(r.case_no, r.doc_no): r.why for r in rank.why(p.tiers, p.expanded).collect()}
+
+
+def test_pieces_of_many_documents_are_joined():
+    """The places of a piece are short numbers, those of a block are not."""
+    import numpy as np
+
+    size, key = 40_000, np.array([7, 9])
+    pieces = [(np.arange(size) * 3 + i, np.array([1, size - 1, 5], np.uint16), key, np.array([2, 1]), np.zeros(size, np.int8), np.array([2], np.int32), np.array([0]), ["甲"]) for i in range(3)]
+    x = best.joined(pieces)
+    found = {k: x["docs"][x["local"][a:b]].tolist() for k, a, b in zip(x["keys"].tolist(), x["first"], x["first"][1:])}
+    assert found == {7: sorted(r * 3 + i for r in (1, size - 1) for i in range(3)), 9: [15, 16, 17]}
+    assert x["docs"][x["themes"]["甲"]].tolist() == [6, 7, 8]
