@@ -429,3 +429,18 @@ def test_pieces_of_many_documents_are_joined():
     found = {k: x["docs"][x["local"][a:b]].tolist() for k, a, b in zip(x["keys"].tolist(), x["first"], x["first"][1:])}
     assert found == {7: sorted(r * 3 + i for r in (1, size - 1) for i in range(3)), 9: [15, 16, 17]}
     assert x["docs"][x["themes"]["甲"]].tolist() == [6, 7, 8]
+
+
+def test_terms_are_found_where_slots_are_crowded():
+    """Many terms to a slot, terms of which others are the beginning, and none at all; terms lie by slot."""
+    import numpy as np
+
+    names = [a + b + c for a in "甲乙丙丁戊己庚辛" for b in "甲乙丙丁戊己庚辛" for c in ("", "甲", "乙丙")]
+    body = "".join(random.Random(1).choices("甲乙丙丁戊己庚辛。", k=3000))
+    cp = np.frombuffer(body.encode("utf-32-le"), np.uint32)
+    known = index.Terms(index.keys_of(names))
+    assert known.crowd > 1 and bool((np.diff(known.slot(known.keys).astype(np.int64)) >= 0).all())
+    place, term = known.within(cp)
+    found = index.terms_of(known.keys).to_pylist()
+    assert sorted((p, found[t]) for p, t in zip(place.tolist(), term.tolist())) == sorted((p, t) for t in names for p in range(len(body)) if body.startswith(t, p))
+    assert not len(index.Terms(np.zeros(0, np.int64)).within(cp)[0])
