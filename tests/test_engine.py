@@ -431,6 +431,32 @@ def test_pieces_of_many_documents_are_joined():
     assert x["docs"][x["themes"]["甲"]].tolist() == [6, 7, 8]
 
 
+def test_a_block_is_joined_in_little_memory():
+    """Besides the pieces, at most a number of eight bytes and one of four for each posting, and a piece's own."""
+    import tracemalloc
+
+    import numpy as np
+
+    pieces = [(np.arange(1000) + 1000 * i, np.tile(np.arange(1000, dtype=np.uint16), 100), np.arange(100), np.full(100, 1000), np.zeros(1000, np.int8), np.zeros(0, np.int32), np.zeros(0, np.int64), []) for i in range(40)]
+    tracemalloc.start()
+    x = best.joined(pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert x["local"].tolist() == list(range(40_000)) * 100
+    assert peak < 16 * len(x["local"])
+
+
+def test_bits_are_kept_only_where_they_take_less_than_the_list():
+    import numpy as np
+
+    lists = {"甲乙": np.array([3, 500, 999], np.int32), "丙丁": np.arange(0, 1000, 2, dtype=np.int32)}
+    block = best.Block(np.arange(1000), [(0, t) for t in lists], np.array([0, 3]), np.concatenate(list(lists.values())))
+    for ids in (np.arange(1000), np.array([3, 4, 999]), np.array([5]), np.zeros(0, np.int64)):
+        for t, at in lists.items():
+            assert block.has(t, ids).tolist() == np.isin(ids, at).tolist()
+    assert list(block.bits) == ["丙丁"]
+
+
 def test_terms_are_found_where_slots_are_crowded():
     """Many terms to a slot, terms of which others are the beginning, and none at all; terms lie by slot."""
     import numpy as np
@@ -444,3 +470,13 @@ def test_terms_are_found_where_slots_are_crowded():
     found = index.terms_of(known.keys).to_pylist()
     assert sorted((p, found[t]) for p, t in zip(place.tolist(), term.tolist())) == sorted((p, t) for t in names for p in range(len(body)) if body.startswith(t, p))
     assert not len(index.Terms(np.zeros(0, np.int64)).within(cp)[0])
+
+
+def test_packed_blocks_travel_in_parts(monkeypatch):
+    """No row is larger than a part; the parts make the block again."""
+    monkeypatch.setattr(best, "CHUNK", 100)
+    x = list(range(1000))
+    rows = [r for b in best.chunks(x) for r in b.to_pylist()]
+    assert len(rows) > 2 and max(len(r["data"]) for r in rows) == 100
+    assert best.opened(b"".join(r["data"] for r in rows)) == x and [r["last"] for r in rows] == [False] * (len(rows) - 1) + [True]
+    assert [len(b) for b in best.chunks(x, whole=True)] == [1]
