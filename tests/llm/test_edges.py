@@ -44,3 +44,21 @@ def test_defined_results(spark, dirs):
     assert [r.doc_id for r in q["p10_found"](spark, dirs["messy"]).collect()] == [7]
     themes = {(r.term, r.occurrences, r.records) for r in q["p1_terms"](spark, dirs["messy"]).collect() if r.field_name == "themes"}
     assert themes == {("守城", 2, 1)}
+
+
+def test_paths_of_many_rows_are_spelled_out_at_once(monkeypatch):
+    """Decoding expands the spans of all rows in one step, and finds the path: in order, with the last two the other way round."""
+    import numpy as np
+
+    from inkspan.llm import p04_alignment as p
+
+    calls = []
+    monkeypatch.setattr(p, "ranges", lambda a, b, f=p.ranges: calls.append(1) or f(a, b))
+    odds = np.full((1, 8, len(p.SPANS), 8), -5.0)
+    for j, i in enumerate([0, 1, 2, 3, 4, 5, 7, 6]):
+        odds[0, j, 0, i] = 20.0
+    for span in range(1, len(p.SPANS)):
+        odds[0, :, span, -span:] = -np.inf
+    r, i, j = p.decode(lambda lo, hi: odds[:, lo:hi], np.array([8]), np.array([8]))
+    assert sorted(zip(j.tolist(), i.tolist())) == [*((k, k) for k in range(6)), (6, 7), (7, 6)]
+    assert len(calls) == 1
