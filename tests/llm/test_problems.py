@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkspan.llm import p02_lookalikes, p03_pieces, p04_alignment, p05_spans, p06_neardup, p08_packing, p09_mixing, p10_residue
+from inkspan.llm import common, p02_lookalikes, p03_pieces, p04_alignment, p05_spans, p06_neardup, p08_packing, p09_mixing, p10_residue
 from inkspan.llm.p01_terms import LastSeen, pair_counters
 from inkspan.llm.p07_sentences import sentence_spans
 from tests import fixtures
@@ -300,6 +301,50 @@ def test_blobs_come_back():
         assert np.array_equal(a, b)
 
 
+def test_pairs_are_packed_each_once_and_meet_their_points_some_at_a_time(monkeypatch, spark):
+    """Pairs come back from their blobs, a part of many pairs is opened in slices, and so are the points, with the same result."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 40, 5000)
+    a, b = np.repeat(a, 3), np.repeat(a + rng.integers(1, 1 << 34, 5000), 3)
+    monkeypatch.setattr(p06_neardup, "HELD", 700)
+    got = [p for _, blobs in p06_neardup.dealt(iter([(a, b)]), 4) for x in blobs for y in p06_neardup.once([x, x], 4) for p in zip(*(z.tolist() for z in p06_neardup.pairs_of(y)))]
+    assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist()))
+    o = np.argsort(a)
+    assert len(p06_neardup.pair_blob(a[o], b[o])) < 16 * len(a) * 0.5
+    docs = spark.createDataFrame(list(variants(random.Random(8), 80).items()), "doc_no long, text string")
+    want = {tuple(r) for r in p06_neardup.near_duplicates(docs)[0].collect()}
+    monkeypatch.setattr(p06_neardup, "PAIRS_A_TEXT", 2)
+    assert want and {tuple(r) for r in p06_neardup.near_duplicates(docs)[0].collect()} == want
+
+
+def test_points_of_many_pairs_are_compared_at_once():
+    texts = list(variants(random.Random(9), 60).values()) + ["".join(chr(0x4E00 + i % 7000) for i in range(9000))]
+    points = p06_neardup.count_vector(texts)
+    x, y = zip(*[(p, q) for p in points for q in points])
+    for p, q, ok in zip(x, y, p06_neardup.may_match(list(x), list(y)).tolist()):
+        n, a = int.from_bytes(p[:4], "little"), np.frombuffer(p, np.uint8, offset=4).astype(int)
+        m, b = int.from_bytes(q[:4], "little"), np.frombuffer(q, np.uint8, offset=4).astype(int)
+        least = min(len(a), len(b))
+        shared = np.minimum(a.reshape(-1, least).sum(0), b.reshape(-1, least).sum(0)).sum()
+        assert ok == (max(n, m) > 8192 or 8 * shared >= 3 * (n + m))
+
+
+def test_files_of_finished_steps_are_freed(spark):
+    """Asked once: a single collection leaves them."""
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.newShuffleId()
+    df = spark.range(100).repartition(3, "id").checkpoint()
+    held = lambda: [i for i in range(first, last) if sc.env().mapOutputTracker().containsShuffle(i)]
+    last = sc.newShuffleId()
+    assert held()
+    common.freed(spark)
+    for _ in range(30):
+        if not held():
+            break
+        time.sleep(0.1)
+    assert not held() and df.count() == 100
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 6)], "a long, b long")
     assert {tuple(r) for r in p06_neardup.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7), (5, 5), (6, 5)}
